@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dartminhash, kmtree, kneserney, langid, linededup, packing, pagediff, toxicity
+from . import bm25, dartminhash, kmtree, kneserney, langid, linededup, packing, pagediff, sapieces, toxicity
 from .common import table
 
 
@@ -29,6 +29,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).drop("uid")
 
 
+def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bm25.search(docs, docs.where("doc_id % 20 = 0"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.remove_boilerplate(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sapieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagediff.extract(table(spark, sf_dir, "pages"))
 
@@ -46,7 +55,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_neighbours, op3_language, op4_toxicity, op6_packing, op7_line_dedup, op9_html, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_quality, op2_neighbours, op3_language, op4_toxicity, op5_search, op6_packing, op7_line_dedup, op8_sentencepiece, op9_html, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:

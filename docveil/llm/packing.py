@@ -120,10 +120,13 @@ def swap_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[
         giver, moved = alive[0], True
         while moved and bins[giver]:
             moved = False
-            for taker in reversed(alive[1:]):
-                room = capacity - fill[taker]
-                # more squared fill: the taker ends fuller than the giver was
-                if room and (step := exchange(bins[giver], bins[taker], sizes, room)) and fill[taker] + step[0] > fill[giver]:
+            for exactly in (True, False):  # first what fills a taker to the brim
+                for taker in reversed(alive[1:]):
+                    room = capacity - fill[taker]
+                    step = exchange(bins[giver], bins[taker], sizes, room) if room else None
+                    # more squared fill: the taker ends fuller than the giver was
+                    if step is None or (exactly and step[0] < room) or fill[taker] + step[0] <= fill[giver]:
+                        continue
                     gain, given, back = step
                     bins[giver] = [i for i in bins[giver] if i not in given] + list(back)
                     bins[taker] = [i for i in bins[taker] if i not in back] + list(given)
@@ -132,6 +135,8 @@ def swap_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[
                     moved = True
                     if not bins[giver]:
                         break
+                if moved:
+                    break
         rest = alive[1:]
         full += [b for b in rest if fill[b] == capacity]
         if bins[giver]:

@@ -8,8 +8,9 @@ t ln t + 2t darts are thrown for a document, however many elements it has.
 
 Documents with equal element sets are one vertex. Bands of the signature are bucket keys: 40 bands of 8 coordinates find
 a pair of similarity 0.8 with probability 0.9994, and one of 0.1 (a passage in common) with 4e-7. Links are found without
-listing all pairs of a bucket: every bucket member is compared with one pivot, linked components are contracted, and
-only pairs of a bucket that are still in different components are looked at again. Every accepted link is verified by
+listing all pairs of a bucket: every bucket member of the first few bands is compared with one pivot, linked components
+are contracted, and of all bands only bucket members that are still in different components are looked at again, against
+other pivots while many are left, and then in all pairs across components. Every accepted link is verified by
 exact Jaccard similarity of the whole texts' shingles. A class is a connected component of links.
 
 Null, empty and wordless texts are classes of their own. Rows that share a doc_id belong to one class; a null doc_id
@@ -32,6 +33,7 @@ from .shingles import shingle_sets
 SIMILARITY, SIZE, BANDS, ROWS = 0.8, 5, 40, 8
 BROADCAST_IDS = 500_000
 STAR_ROUNDS = 4
+FIRST_BANDS = 4
 
 CELL, LEVEL, DART, SIDE = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 #: P(Poisson(1) <= k)
@@ -133,11 +135,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     copies = materialize(worded.groupBy("h1", "h2").agg(F.min("id").alias("rep")), "copies")
     of_rep = worded.select("id", "h1", "h2").join(copies, ["h1", "h2"]).select("id", "rep")
     of_rep = materialize(of_rep.distinct(), "rep")
-    buckets = worded.join(copies, ["h1", "h2"]).where("id = rep").select("rep", F.explode("keys").alias("key"))
+    buckets = worded.join(copies, ["h1", "h2"]).where("id = rep").select("rep", F.posexplode("keys").alias("band", "key"))
     many = buckets.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot < top").select("key", "pivot")
     members = materialize(buckets.join(many, "key"), "members")
 
-    links = materialize(verified(members.where("rep > pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), base, size, similarity), "links")
+    first = members.where((F.col("rep") > F.col("pivot")) & (F.col("band") < FIRST_BANDS))
+    links = materialize(verified(first.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), base, size, similarity), "links")
     for k in range(STAR_ROUNDS + 1):
         labels = materialize(components(links), "labels")
         now = members.select("key", "rep").join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))

@@ -32,8 +32,8 @@ from .shingles import shingle_sets
 
 SIMILARITY, SIZE, BANDS, ROWS = 0.8, 5, 40, 8
 BROADCAST_IDS = 500_000
-STAR_ROUNDS = 4
-FIRST_BANDS = 4
+STAR_ROUNDS = 2
+FIRST_BANDS = 12
 
 CELL, LEVEL, DART, SIDE = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 #: P(Poisson(1) <= k)

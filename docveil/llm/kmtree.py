@@ -4,8 +4,8 @@ The tree is fitted on a bounded sample (about ``SAMPLE`` vectors, chosen by a ha
 assigned to its leaves. A query pops the nearest node from a priority queue, pushes an inner node's children, and
 visits a leaf; it widens until it has seen the calibrated number of leaves and enough candidates. That number is the
 least one at which ``TARGET`` of the true neighbours of ``CALIBRATION`` vectors, found by brute force over the
-whole table, lie in visited leaves. Leaves and the queries that visit them are joined in blocks of bounded size, so a
-leaf full of copies is spread over tasks. Distances are exact, in double precision, on the original vectors.
+whole table, lie in visited leaves. Neighbouring leaves make up shards; a shard and the queries that visit any of its
+leaves are joined in blocks of bounded size, so a leaf full of copies is spread over tasks. Distances are exact, in double precision, on the original vectors.
 
 Vectors that are null, empty, zero, hold null or non-finite components, or have another length than most, take no part;
 neither do null ids. Rows that share an id are one candidate (their nearest vector) and one query (their smallest
@@ -28,7 +28,7 @@ from .common import materialize
 
 SAMPLE, BRANCHES, LEAF_ROWS, LEAST_SAMPLE = 20_000, 8, 256, 4
 CALIBRATION, TARGET = 128, 0.97
-BLOCK = 512
+SHARD_ROWS, BLOCK_ROWS, BLOCK_QUERIES = 2048, 2048, 512
 
 
 @dataclass
@@ -123,13 +123,13 @@ def matrix(column) -> np.ndarray:
     return np.stack([np.asarray(x, dtype=np.float64) for x in column]) if len(column) else np.zeros((0, 1))
 
 
-def nearest_in(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the k nearest rows that don't bear its id: (query's row, ids, exact distances)."""
+def nearest_in(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, visited: list[np.ndarray] | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query the k nearest rows (of those visited) that don't bear its id: (query's row, ids, exact distances)."""
     out = []
     rough = (q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None, :] - 2 * q @ x.T
     slack = 1e-9 * (1.0 + np.abs(rough).max(initial=0.0))
     for i in range(len(q)):
-        other = np.flatnonzero(ids != own[i])
+        other = np.flatnonzero(ids != own[i] if visited is None else (ids != own[i]) & visited[i])
         if not len(other):
             continue
         r = rough[i, other]
@@ -190,37 +190,48 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row per leaf of the bounded tree
     visits = calibrate(rows, tree, k, CALIBRATION, target)
 
+    shard_of, shard, held = {}, 0, 0
+    for leaf in sorted(sizes):  # leaves are numbered by depth first, so neighbours in number are neighbours in the tree
+        shard_of[leaf] = shard
+        held += sizes[leaf]
+        if held >= SHARD_ROWS:
+            shard, held = shard + 1, 0
+
     def to_bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for i, v in zip(batch["id"], batch["v"], strict=True):
-                held = 0
+                held, wanted = 0, {}
                 for n, leaf in enumerate(side.value.best_bins(np.asarray(v))):
                     if n >= visits and held > k:
                         break
                     if size := sizes.get(leaf, 0):
                         held += size
-                        out.append((i, v, leaf))
-            yield pd.DataFrame(out, columns=["qid", "q", "leaf"]).astype({"qid": "int64", "leaf": "int32"})
+                        wanted.setdefault(shard_of[leaf], []).append(leaf)
+                out += [(i, v, s, leaves) for s, leaves in wanted.items()]
+            yield pd.DataFrame(out, columns=["qid", "q", "shard", "leaves"]).astype({"qid": "int64", "shard": "int32"})
 
     asked = usable(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
-    bins = materialize(asked.mapInPandas(to_bins, "qid long, q array<double>, leaf int"), "bins")
-    asks = {r["leaf"]: r["n"] for r in bins.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    cut = spark.createDataFrame([(leaf, -(-n // BLOCK), -(-asks.get(leaf, 1) // BLOCK)) for leaf, n in sizes.items()] or [(-1, 1, 1)], "leaf int, vs int, qs int")
-    cut = F.broadcast(cut)  # one row per leaf
+    bins = materialize(asked.mapInPandas(to_bins, "qid long, q array<double>, shard int, leaves array<int>"), "bins")
+    asks = {r["shard"]: r["n"] for r in bins.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row per shard
+    rows_of: dict[int, int] = {}
+    for leaf, n in sizes.items():
+        rows_of[shard_of[leaf]] = rows_of.get(shard_of[leaf], 0) + n
+    cut = F.broadcast(spark.createDataFrame([(leaf, s, -(-rows_of[s] // BLOCK_ROWS), -(-asks.get(s, 1) // BLOCK_QUERIES)) for leaf, s in shard_of.items()] or [(-1, -1, 1, 1)], "leaf int, shard int, vs int, qs int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = bins.join(cut, "leaf").select("leaf", "qid", "q", F.pmod(F.xxhash64("qid"), F.col("qs")).cast("int").alias("qb"), every("vs").alias("vb"))
-    right = placed.join(cut, "leaf").select("leaf", "id", "v", F.pmod(F.xxhash64("id"), F.col("vs")).cast("int").alias("vb"), every("qs").alias("qb"))
+    left = bins.join(F.broadcast(cut.select("shard", "vs", "qs").distinct()), "shard").select("shard", "qid", "q", "leaves", F.pmod(F.xxhash64("qid"), F.col("qs")).cast("int").alias("qb"), every("vs").alias("vb"))
+    right = placed.join(cut, "leaf").select("shard", "leaf", "id", "v", F.pmod(F.xxhash64("id"), F.col("vs")).cast("int").alias("vb"), every("qs").alias("qb"))
 
     def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
-            own = a["qid"].to_numpy()
-            for i, ids, d in nearest_in(matrix(a["q"]), own, matrix(b["v"]), b["id"].to_numpy(), k):
+            own, leaf = a["qid"].to_numpy(), b["leaf"].to_numpy()
+            visited = [np.isin(leaf, x) for x in a["leaves"]]
+            for i, ids, d in nearest_in(matrix(a["q"]), own, matrix(b["v"]), b["id"].to_numpy(), k, visited):
                 out += [(own[i], j, s) for j, s in zip(ids, d, strict=True)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    keys = ["leaf", "qb", "vb"]
+    keys = ["shard", "qb", "vb"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(block, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")

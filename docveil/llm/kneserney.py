@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, in_chunks, materialize, sums_by_row
+from .common import code_points, in_chunks, materialize, small_enough, sums_by_row
 
 K = 64
 SHARDS = 8
@@ -36,6 +36,7 @@ GROUP_DOCS = 8000
 PRIOR_CHARS = 300
 SPREAD = 3.0
 LEAST_TRUSTED = 50
+BROADCAST_IDS = 500_000
 
 #: Symbols 3 to 28 are a to z; the rest as listed.
 BOUNDARY, BLANK, NEWLINE, UPPER, DIGIT, LOWER, LETTER, OTHER = 0, 1, 2, 29, 30, 31, 32, 63
@@ -185,7 +186,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     base = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
     trusted = labels.where("quality = 1").select(F.col("doc_id").alias("t")).distinct()
-    counts = count_trigrams(base.join(trusted, F.col("doc_id") == F.col("t"), "left_semi"))
+    side = F.broadcast(trusted) if small_enough(trusted, BROADCAST_IDS) else trusted  # texts need not move then
+    counts = count_trigrams(base.join(side, F.col("doc_id") == F.col("t"), "left_semi"))
     scored = scores(base.select("uid", "text"), log_probabilities(counts))
     rows = base.select("uid", "doc_id", "lang", F.lit(1).alias("one")).join(scored, "uid", "left").join(trusted, F.col("doc_id") == F.col("t"), "left")
     rows = materialize(rows.select("uid", "doc_id", "lang", "chars", (F.col("nll") / F.col("chars")).alias("mean"), F.col("t").isNotNull().alias("trusted")), "perplexity")

@@ -16,8 +16,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
     for _ in range(most_rounds):
-        # done if all edges lead from a vertex of one edge to one that has none of its own
-        if not now.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").head(1) and not now.join(now.select(F.col("u").alias("v")), "v", "left_semi").head(1):
+        # done if no vertex has two edges down, or one down and one from above
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        if not ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)").head(1):
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

@@ -135,17 +135,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     copies = materialize(worded.groupBy("h1", "h2").agg(F.min("id").alias("rep")), "copies")
     of_rep = worded.select("id", "h1", "h2").join(copies, ["h1", "h2"]).select("id", "rep")
     of_rep = materialize(of_rep.distinct(), "rep")
-    buckets = worded.join(copies, ["h1", "h2"]).where("id = rep").select("rep", F.posexplode("keys").alias("band", "key"))
+    reps = materialize(worded.join(copies, ["h1", "h2"]).where("id = rep").select("rep", "keys"), "reps")
+    buckets = reps.select("rep", F.explode(F.slice("keys", 1, FIRST_BANDS)).alias("key"))
     many = buckets.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot < top").select("key", "pivot")
-    members = materialize(buckets.join(many, "key"), "members")
-
-    first = members.where((F.col("rep") > F.col("pivot")) & (F.col("band") < FIRST_BANDS))
+    first = buckets.join(many, "key").where("rep > pivot")
     links = materialize(verified(first.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), base, size, similarity), "links")
     for k in range(STAR_ROUNDS + 1):
         labels = materialize(components(links), "labels")
-        now = members.select("key", "rep").join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))
-        mixed = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        now = materialize(now.join(mixed, "key", "left_semi"), "open")
+        side = labels.withColumnRenamed("v", "rep")
+        if k == 0:  # labels meet documents before these are spread over all bands
+            now = reps.join(side, "rep", "left").select("rep", F.coalesce("c", "rep").alias("c"), F.explode("keys").alias("key"))
+        else:  # components only grow: what was closed stays so
+            now = now.drop("c").join(side, "rep", "left").select("rep", F.coalesce("c", "rep").alias("c"), "key")
+        mixed = materialize(now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "mixed")
+        now = materialize(now.join(F.broadcast(mixed) if small_enough(mixed, BROADCAST_IDS) else mixed, "key", "left_semi"), "open")
         if small_enough(now, 0):
             break
         parts = now.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))

@@ -8,9 +8,9 @@ t ln t + 2t darts are thrown for a document, however many elements it has.
 
 Documents with equal element sets are one vertex. Bands of the signature are bucket keys: 40 bands of 8 coordinates find
 a pair of similarity 0.8 with probability 0.9994, and one of 0.1 (a passage in common) with 4e-7. Links are found without
-listing all pairs of a bucket: every bucket member of the first few bands is compared with one pivot, linked components
-are contracted, and of all bands only bucket members that are still in different components are looked at again, against
-other pivots while many are left, and then in all pairs across components. Every accepted link is verified by
+listing all pairs of a bucket: every bucket member of the first few bands is compared with one pivot, and linked
+components are contracted. Of all bands, only members that are still in different components are then paired, if sizes
+and one bit of each coordinate allow the similarity. Every accepted link is verified by
 exact Jaccard similarity of the whole texts' shingles. A class is a connected component of links.
 
 Null, empty and wordless texts are classes of their own. Rows that share a doc_id belong to one class; a null doc_id
@@ -32,7 +32,6 @@ from .shingles import shingle_sets
 
 SIMILARITY, SIZE, BANDS, ROWS = 0.8, 5, 40, 8
 BROADCAST_IDS = 500_000
-STAR_ROUNDS = 2
 FIRST_BANDS = 12
 
 CELL, LEVEL, DART, SIDE = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
@@ -93,25 +92,50 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int, bands: int, rows: int, weighted: bool) -> DataFrame:
-    """id, h1, h2 (of the element set), keys. Documents without words have null keys."""
+    """id, h1, h2 (of the element set), n (its elements), keys, bits (one of each coordinate). Without words keys and bits are null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
             for a, b in in_chunks(texts, 1_000_000):
-                h1, h2, keys = [], [], []
+                h1, h2, count, keys, bits = [], [], [], [], []
                 for own, n in shingle_sets(texts[a:b], size, counts=True):
                     whole = own if not weighted else mix64(own + n.astype(np.uint64) * CELL)
                     h1.append(int(whole.sum(dtype=np.uint64).view(np.int64)))
                     h2.append(int(mix64(whole + SIDE).sum(dtype=np.uint64).view(np.int64)))
-                    keys.append(band_keys(signature(own, n if weighted else None, bands * rows), bands, rows) if len(own) else None)
-                yield pd.DataFrame({"id": batch["id"].iloc[a:b].to_numpy(), "h1": h1, "h2": h2, "keys": keys})
+                    count.append(len(own))
+                    sig = signature(own, n if weighted else None, bands * rows) if len(own) else None
+                    keys.append(None if sig is None else band_keys(sig, bands, rows))
+                    bits.append(None if sig is None else packed_bits(sig))
+                yield pd.DataFrame({"id": batch["id"].iloc[a:b].to_numpy(), "h1": h1, "h2": h2, "n": count, "keys": keys, "bits": bits})
 
-    return docs.mapInPandas(run, "id long, h1 long, h2 long, keys array<long>")
+    return docs.mapInPandas(run, "id long, h1 long, h2 long, n long, keys array<long>, bits array<long>")
+
+
+def packed_bits(sig: np.ndarray) -> np.ndarray:
+    """The lowest bit of each coordinate, 64 to a long; the last one is padded."""
+    own = np.zeros(-(-len(sig) // 64) * 64, dtype=np.uint8)
+    own[: len(sig)] = sig & np.uint64(1)
+    return np.packbits(own).view(np.int64)
+
+
+def likely(similarity: float, t: int, weighted: bool):
+    """Condition on na, nb, bits_a, bits_b that a pair of at least this similarity meets.
+
+    The smaller set has at least similarity times the elements of the larger one. Of the t bits, (1 + similarity) / 2
+    agree on average; a pair that is 5 standard deviations below (one in 3 million of those at the limit) is left out.
+    """
+    sizes = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")
+    if weighted:
+        return sizes
+    share = (1 + similarity) / 2
+    most = t * (1 - share) + 5 * (t * share * (1 - share)) ** 0.5
+    differ = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(-(-t // 64))), F.lit(0))
+    return sizes & (differ <= most)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity is at least ``similarity``."""
+    """The pairs (a, b), of a written table, whose exact Jaccard similarity is at least ``similarity``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -132,39 +156,27 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = materialize(sketches(base.where("id is not null"), size, bands, rows, weighted), "sketch")
     worded = sketch.where("keys is not null")
-    copies = materialize(worded.groupBy("h1", "h2").agg(F.min("id").alias("rep")), "copies")
-    of_rep = worded.select("id", "h1", "h2").join(copies, ["h1", "h2"]).select("id", "rep")
-    of_rep = materialize(of_rep.distinct(), "rep")
-    reps = materialize(worded.join(copies, ["h1", "h2"]).where("id = rep").select("rep", "keys"), "reps")
+    # equal element sets have equal keys and bits
+    reps = materialize(worded.groupBy("h1", "h2").agg(F.min("id").alias("rep"), *[F.first(x).alias(x) for x in ("n", "keys", "bits")]), "reps")
     buckets = reps.select("rep", F.explode(F.slice("keys", 1, FIRST_BANDS)).alias("key"))
     many = buckets.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot < top").select("key", "pivot")
-    first = buckets.join(many, "key").where("rep > pivot")
-    links = materialize(verified(first.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), base, size, similarity), "links")
-    for k in range(STAR_ROUNDS + 1):
-        labels = materialize(components(links), "labels")
-        side = labels.withColumnRenamed("v", "rep")
-        if k == 0:  # labels meet documents before these are spread over all bands
-            now = reps.join(side, "rep", "left").select("rep", F.coalesce("c", "rep").alias("c"), F.explode("keys").alias("key"))
-        else:  # components only grow: what was closed stays so
-            now = now.drop("c").join(side, "rep", "left").select("rep", F.coalesce("c", "rep").alias("c"), "key")
-        mixed = materialize(now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "mixed")
-        now = materialize(now.join(F.broadcast(mixed) if small_enough(mixed, BROADCAST_IDS) else mixed, "key", "left_semi"), "open")
-        if small_enough(now, 0):
-            break
-        parts = now.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
-        pairs_left, members_left = parts.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2), F.sum("n")).first()
-        last = k == STAR_ROUNDS or pairs_left <= 4 * members_left
-        if last:  # all pairs of a bucket that are not yet in one component
-            b = now.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"))
-            todo = now.withColumnRenamed("rep", "a").join(b, "key").where("c <> cb and a < b").select("a", "b").distinct()
-        else:  # another pivot for each of these buckets
-            turn = now.groupBy("key").agg(F.min_by(F.struct("rep", "c"), F.xxhash64("rep", F.lit(k))).alias("p"))
-            todo = now.join(turn, "key").where("c <> p.c").select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
-        links = materialize(links.unionByName(verified(materialize(todo, "pairs"), base, size, similarity)), "links")
-        if last:
-            labels = materialize(components(links), "labels")
-            break
-    found = of_rep.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("id", F.coalesce("c", "rep").alias("c"))
+    first = buckets.join(many, "key").where("rep > pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    labels = components(verified(materialize(first, "pairs"), base, size, similarity))
+    labels = materialize(labels.withColumnRenamed("v", "rep"), "labels")
+    now = reps.join(labels, "rep", "left").select("rep", F.coalesce("c", "rep").alias("c"), "n", "bits", "keys")
+    spread = now.select("c", F.explode("keys").alias("key"))
+    mixed = materialize(spread.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "mixed")
+    still = now.select("rep", "c", "n", "bits", F.explode("keys").alias("key"))
+    still = materialize(still.join(F.broadcast(mixed) if small_enough(mixed, BROADCAST_IDS) else mixed, "key", "left_semi"), "open")
+    a = still.select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    b = still.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    todo = a.join(b, "key").where(F.expr("ca <> cb and a < b") & likely(similarity, bands * rows, weighted)).select("a", "b", "ca", "cb").distinct()
+    todo = materialize(todo, "pairs")
+    linked = verified(todo.select("a", "b"), base, size, similarity).join(todo, ["a", "b"])
+    joined = materialize(components(linked.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "joined")
+    of_rep = worded.select("id", "h1", "h2").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep")
+    found = of_rep.join(labels, "rep", "left").select("id", F.coalesce("c", "rep").alias("v"))
+    found = found.join(joined, "v", "left").select("id", F.coalesce("c", "v").alias("c"))
     found = found.groupBy("id").agg(F.min("c").alias("c"))
     out = docs.select(F.col(id_col).cast("long").alias("id")).join(found, "id", "left")
     return out.select(F.col("id").alias("doc_id"), F.coalesce("c", "id").alias("class_id"))

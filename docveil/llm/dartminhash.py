@@ -9,8 +9,8 @@ t ln t + 2t darts are thrown for a document, however many elements it has.
 Documents with equal element sets are one vertex. Bands of the signature are bucket keys: 40 bands of 8 coordinates find
 a pair of similarity 0.8 with probability 0.9994, and one of 0.1 (a passage in common) with 4e-7. Links are found without
 listing all pairs of a bucket: every bucket member of the first few bands is compared with one pivot, and linked
-components are contracted. Of all bands, only members that are still in different components are then paired, if sizes
-and one bit of each coordinate allow the similarity. Every accepted link is verified by
+components are contracted. Of all bands, only members that are still in different components are then compared, within
+the join, if sizes and one bit of each coordinate allow the similarity. Every accepted link is verified by
 exact Jaccard similarity of the whole texts' shingles. A class is a connected component of links.
 
 Null, empty and wordless texts are classes of their own. Rows that share a doc_id belong to one class; a null doc_id
@@ -134,8 +134,8 @@ def likely(similarity: float, t: int, weighted: bool):
     return sizes & (differ <= most)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b), of a written table, whose exact Jaccard similarity is at least ``similarity``."""
+def sets_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """id, s (shingle hashes) of the documents named in ids, a written table."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -143,12 +143,22 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) ->
             for a, b in in_chunks(texts, 1_000_000):
                 yield pd.DataFrame({"id": batch["id"].iloc[a:b].to_numpy(), "s": [x.view(np.int64) for x in shingle_sets(texts[a:b], size)]})
 
-    ids = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
     side = F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
-    sets = materialize(docs.join(side, "id", "left_semi").mapInPandas(run, "id long, s array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    return materialize(docs.join(side, "id", "left_semi").mapInPandas(run, "id long, s array<long>"), "sets")
+
+
+def similar(similarity: float):
+    """Condition on sa, sb: their Jaccard similarity is at least this, ties included."""
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return common * F.lit(1 + similarity) >= F.lit(similarity) * (F.size("sa") + F.size("sb")) - F.lit(1e-9)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b), of a written table, whose exact Jaccard similarity is at least ``similarity``."""
+    ids = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    sets = sets_of(ids, docs, size)
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    return both.where(similar(similarity)).select("a", "b")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = SIZE, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
@@ -168,11 +178,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     mixed = materialize(spread.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "mixed")
     still = now.select("rep", "c", "n", "bits", F.explode("keys").alias("key"))
     still = materialize(still.join(F.broadcast(mixed) if small_enough(mixed, BROADCAST_IDS) else mixed, "key", "left_semi"), "open")
-    a = still.select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-    b = still.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-    todo = a.join(b, "key").where(F.expr("ca <> cb and a < b") & likely(similarity, bands * rows, weighted)).select("a", "b", "ca", "cb").distinct()
-    todo = materialize(todo, "pairs")
-    linked = verified(todo.select("a", "b"), base, size, similarity).join(todo, ["a", "b"])
+    ids = materialize(still.select(F.col("rep").alias("id")).distinct(), "ids")
+    still = still.join(sets_of(ids, base, size).withColumnRenamed("id", "rep"), "rep")
+    a = still.select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("bits").alias("bits_a"), F.col("s").alias("sa"))
+    b = still.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"), F.col("s").alias("sb"))
+    # compared while they meet: only links leave the join
+    linked = a.join(b, "key").where(F.expr("ca <> cb and a < b") & likely(similarity, bands * rows, weighted) & similar(similarity))
     joined = materialize(components(linked.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "joined")
     of_rep = worded.select("id", "h1", "h2").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep")
     found = of_rep.join(labels, "rep", "left").select("id", F.coalesce("c", "rep").alias("v"))

@@ -4,7 +4,7 @@ The model's symbols are characters folded to 64 classes (``symbols``), so each o
 64 ** 3 trigrams, whatever the size of the corpus. Counting covers all trusted documents: tasks count their trigrams,
 ``groupBy`` adds them up. Scoring is a join of count tables cut into shards: a document sends to every shard its own
 trigrams of that shard (two bytes each and a count), each shard looks up its slice of log-probabilities, and partial
-sums come back per document.
+sums come back per document. The queries let the word trigrams of ``wordlm``, whose table grows with the corpus, judge too.
 
 A document's perplexity is exp of its mean negative log-probability a character, shrunk towards its language's median
 as if ``PRIOR_CHARS`` median characters were added (short texts vary more). It is rejected above
@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import wordlm
 from .common import code_points, in_chunks, materialize, small_enough, sums_by_row
 
 K = 64
@@ -179,27 +180,39 @@ def scores(docs: DataFrame, log_p: np.ndarray) -> DataFrame:
     return parts.groupBy("uid").agg(F.sum("nll").alias("nll"), F.sum("chars").alias("chars"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", words: bool = False) -> DataFrame:
     """doc_id, lang, chars, perplexity, threshold, keep, and uid (a hash of id and text) for each row of docs.
 
-    labels: doc_id, quality; documents labelled 1 are the trusted text.
+    labels: doc_id, quality; documents labelled 1 are the trusted text. words: the word trigrams of ``wordlm`` judge too,
+    a row is kept if both models keep it, and its figures are those of the model under which it lies nearer to the limit, or further above.
     """
     base = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
     trusted = labels.where("quality = 1").select(F.col("doc_id").alias("t")).distinct()
     side = F.broadcast(trusted) if small_enough(trusted, BROADCAST_IDS) else trusted  # texts need not move then
-    counts = count_trigrams(base.join(side, F.col("doc_id") == F.col("t"), "left_semi"))
-    scored = scores(base.select("uid", "text"), log_probabilities(counts))
-    rows = base.select("uid", "doc_id", "lang", F.lit(1).alias("one")).join(scored, "uid", "left").join(trusted, F.col("doc_id") == F.col("t"), "left")
-    rows = materialize(rows.select("uid", "doc_id", "lang", "chars", (F.col("nll") / F.col("chars")).alias("mean"), F.col("t").isNotNull().alias("trusted")), "perplexity")
+    texts = base.join(side, F.col("doc_id") == F.col("t"), "left_semi")
+    rows = base.select("uid", "doc_id", "lang").join(trusted, F.col("doc_id") == F.col("t"), "left").select("uid", "doc_id", "lang", F.col("t").isNotNull().alias("trusted"))
+    out = judged(rows, scores(base.select("uid", "text"), log_probabilities(count_trigrams(texts))))
+    if words:
+        more = judged(rows, wordlm.scores(base.select("uid", "text"), texts))
+        more = more.groupBy("uid").agg(F.first("score").alias("score_w"), F.first("limit").alias("limit_w"))
+        worse = F.coalesce(F.col("score_w") - F.col("limit_w") > F.col("score") - F.col("limit"), F.lit(False))
+        both = out.join(more, "uid", "left")
+        out = both.select("uid", "doc_id", "lang", "chars", "mean", F.when(worse, F.col("score_w")).otherwise(F.col("score")).alias("score"), F.when(worse, F.col("limit_w")).otherwise(F.col("limit")).alias("limit"))
+    keep = F.when(F.col("mean").isNull(), False).otherwise(F.coalesce(F.col("score") <= F.col("limit"), F.lit(True)))
+    return out.select("uid", "doc_id", "lang", F.coalesce("chars", F.lit(0)).alias("chars"), F.exp("score").alias("perplexity"), F.exp("limit").alias("threshold"), keep.alias("keep"))
+
+
+def judged(rows: DataFrame, scored: DataFrame) -> DataFrame:
+    """rows (uid, doc_id, lang, trusted) with chars, mean, score and limit of one model's scores (uid, nll, chars)."""
+    rows = rows.join(scored, "uid", "left").select(*rows.columns, "chars", (F.col("nll") / F.col("chars")).alias("mean"))
+    rows = materialize(rows, "perplexity")
     good = rows.where("trusted and mean is not null")
     middle = by_language(good, "mean", [0.5])
     rows = with_language(rows, middle).withColumn("prior", F.col("q")[0]).drop("q")
     shrunk = (F.col("mean") * F.col("chars") + F.col("prior") * PRIOR_CHARS) / (F.col("chars") + PRIOR_CHARS)
     rows = rows.withColumn("score", F.coalesce(shrunk, F.col("mean")))
     limits = by_language(rows.where("trusted and score is not null"), "score", [0.5, 0.95])
-    rows = with_language(rows, limits).withColumn("limit", F.col("q")[0] + SPREAD * (F.col("q")[1] - F.col("q")[0]))
-    keep = F.when(F.col("mean").isNull(), False).otherwise(F.coalesce(F.col("score") <= F.col("limit"), F.lit(True)))
-    return rows.select("uid", "doc_id", "lang", F.coalesce("chars", F.lit(0)).alias("chars"), F.exp("score").alias("perplexity"), F.exp("limit").alias("threshold"), keep.alias("keep"))
+    return with_language(rows, limits).withColumn("limit", F.col("q")[0] + SPREAD * (F.col("q")[1] - F.col("q")[0])).drop("q", "prior")
 
 
 def by_language(rows: DataFrame, column: str, at: list[float]) -> DataFrame:
@@ -218,5 +231,5 @@ def with_language(rows: DataFrame, quantiles: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that the classifier keeps, with their own columns."""
-    kept = classify(docs, labels, id_col, text_col, lang_col).where("keep").select(F.col("uid").alias("__kept")).distinct()
+    kept = classify(docs, labels, id_col, text_col, lang_col, words=True).where("keep").select(F.col("uid").alias("__kept")).distinct()
     return docs.join(kept, F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("__kept"), "left_semi")

@@ -11,7 +11,7 @@ from .common import table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kneserney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("uid")
+    return kneserney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), words=True).drop("uid")
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without cross-site boilerplate lines; n_chars follows the text."""
-    return linededup.with_lengths(linededup.remove_boilerplate(docs).drop("lines_removed"))
+    return linededup.with_lengths(linededup.remove_boilerplate(docs, min_chars=linededup.EVERY_LINE).drop("lines_removed"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ boilerplate: all their occurrences go but the first one (smallest doc_id, then p
 sites still stays once, with its whole text.
 
 Copies of one document vote once: only the smallest doc_id of each exact text counts towards the spread.
-Lines shorter than ``min_chars`` after folding, and empty ones, are never boilerplate. A null site is one site of its
+Empty lines are never boilerplate, nor are lines shorter than ``min_chars`` after folding; the queries pass 1 (``EVERY_LINE``), so that spread alone decides. A null site is one site of its
 own. Null texts stay null; a null doc_id sorts before all others. Repeated rows with one doc_id share their first place.
 Extra columns pass through unchanged, also those named like columns used inside.
 """
@@ -21,6 +21,7 @@ from .common import materialize, small_enough
 
 MIN_SITES = 10
 MIN_CHARS = 16
+EVERY_LINE = 1
 LG_K = 10
 BROADCAST_LINES = 200_000
 
@@ -44,7 +45,7 @@ def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = LG_K) -> DataFrame
     A sketch of 2**lg_k registers errs by 1.04 / sqrt(2**lg_k); four times that counts as near.
     """
     near = 4 * 1.04 / 2 ** (lg_k / 2)
-    votes = lines.groupBy("hash", "copy").agg(F.min(F.struct("doc", "pos", "site")).alias("first"))
+    votes = materialize(lines.groupBy("hash", "copy").agg(F.min(F.struct("doc", "pos", "site")).alias("first")), "votes")
     spread = votes.groupBy("hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.col("first.site"), lg_k)).alias("sites"), F.min(F.struct("first.doc", "first.pos")).alias("first"))
     wide = materialize(spread.where(F.col("sites") >= F.lit(int(min_sites * (1 - near)))), "lines")
     close = wide.where(F.col("sites") <= F.lit(int(min_sites * (1 + near)) + 1))

@@ -39,7 +39,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return linededup.remove_boilerplate(table(spark, sf_dir, "documents"), min_chars=linededup.EVERY_LINE)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Findings of the first review: the word model of op1_quality."""
+"""Findings of the first review: the word model of op1_quality, short lines of op7_line_dedup."""
 
 import math
 import random
@@ -8,7 +8,8 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from docveil.llm import kneserney, wordlm
+import corpus_pipeline
+from docveil.llm import kneserney, queries, wordlm
 
 
 def rows(spark, texts):
@@ -80,3 +81,13 @@ def test_order_of_words_counts(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(120)], "doc_id long, quality int")
     got = {r["doc_id"]: r["keep"] for r in kneserney.classify(docs, labels, words=True).collect()}
     assert not any(got[i] for i in range(120, 125)) and sum(got[i] for i in range(120)) >= 118
+
+
+def test_short_lines_on_many_sites_go(spark, tmp_path):
+    kept = [f"text of its own {i}\n\nrare{i % 20 % 9}" for i in range(40)]
+    docs = [(i, kept[i] + "\nles.\nx", "en", f"s{i % 20}", None) for i in range(40)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: (kept[i], 2) if i else (docs[0][1], 0) for i in range(40)}
+    assert {r["text"] for r in corpus_pipeline.lines(spark, d, "").collect()} == {t for t, _ in got.values()}

@@ -8,8 +8,8 @@ sums come back per document. The queries let the word trigrams of ``wordlm``, wh
 
 A document's perplexity is exp of its mean negative log-probability a character, shrunk towards its language's median
 as if ``PRIOR_CHARS`` median characters were added (short texts vary more). It is rejected above
-``q50 + SPREAD * (q95 - q50)`` of the trusted documents of its language, in logarithms; languages with fewer than
-``LEAST_TRUSTED`` trusted documents use the quantiles of all languages.
+``q50 + SPREAD * (q95 - q50)`` of the trusted documents of its language, in logarithms. A language's quantiles are drawn
+towards those of all languages as if these had ``PRIOR_DOCS`` documents; one without trusted documents uses the latter.
 
 Null and empty texts have null perplexity and are rejected. A null language is a language of its own. Without any
 trusted document nothing can be rejected but empty texts. Repeated rows get the same result. Repeated label rows count once: a
@@ -36,7 +36,7 @@ SLICE = K**3 // SHARDS
 GROUP_DOCS = 8000
 PRIOR_CHARS = 300
 SPREAD = 3.0
-LEAST_TRUSTED = 50
+PRIOR_DOCS = 10
 BROADCAST_IDS = 500_000
 
 #: Symbols 3 to 28 are a to z; the rest as listed.
@@ -216,17 +216,19 @@ def judged(rows: DataFrame, scored: DataFrame) -> DataFrame:
 
 
 def by_language(rows: DataFrame, column: str, at: list[float]) -> DataFrame:
-    """Quantiles of a column per language with enough rows, and those of all languages under the language null."""
+    """Quantiles of a column per language and its number of rows, and those of all languages under the language null."""
     q = F.percentile_approx(column, at, 10_000)
-    own = rows.groupBy("lang").agg(q.alias("q"), F.count("*").alias("n")).where(F.col("n") >= LEAST_TRUSTED).select("lang", "q")
-    return own.unionByName(rows.agg(F.lit(None).cast("string").alias("lang"), q.alias("q")))
+    own = rows.groupBy("lang").agg(q.alias("q"), F.count("*").alias("n"))
+    return own.unionByName(rows.agg(F.lit(None).cast("string").alias("lang"), q.alias("q"), F.count("*").alias("n")))
 
 
 def with_language(rows: DataFrame, quantiles: DataFrame) -> DataFrame:
+    """rows with q: their language's quantiles, drawn towards those of all languages as by PRIOR_DOCS more documents."""
     every = quantiles.where("lang is null").select(F.col("q").alias("q_all"))
-    own = quantiles.where("lang is not null").select("lang", F.col("q").alias("q_own"))
+    own = quantiles.where("lang is not null").select("lang", F.col("q").alias("q_own"), F.col("n").alias("n_own"))
     out = rows.join(own, "lang", "left").join(F.broadcast(every))  # one row
-    return out.withColumn("q", F.coalesce("q_own", "q_all")).drop("q_own", "q_all")
+    drawn = F.zip_with("q_own", "q_all", lambda x, y: (x * F.col("n_own") + y * PRIOR_DOCS) / (F.col("n_own") + PRIOR_DOCS))
+    return out.withColumn("q", F.coalesce(drawn, "q_all")).drop("q_own", "q_all", "n_own")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

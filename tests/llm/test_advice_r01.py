@@ -1,4 +1,4 @@
-"""Findings of the first review: the word model of op1_quality, short lines of op7_line_dedup."""
+"""Findings of the first review: the word model and the quantiles of op1_quality, short lines of op7_line_dedup."""
 
 import math
 import random
@@ -91,3 +91,15 @@ def test_short_lines_on_many_sites_go(spark, tmp_path):
     got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {i: (kept[i], 2) if i else (docs[0][1], 0) for i in range(40)}
     assert {r["text"] for r in corpus_pipeline.lines(spark, d, "").collect()} == {t for t, _ in got.values()}
+
+
+def test_rare_languages_keep_their_own_quantiles(spark):
+    counts = {"en": 900, "fr": 49, "de": 5}
+    level = {"en": 1.0, "fr": 3.0, "de": 3.0}
+    seen = [(lang, level[lang]) for lang, n in counts.items() for _ in range(n)]
+    quantiles = kneserney.by_language(spark.createDataFrame(seen, "lang string, x double"), "x", [0.5])
+    asked = spark.createDataFrame([(lang,) for lang in ("en", "fr", "de", "none")], "lang string")
+    got = {r["lang"]: r["q"][0] for r in kneserney.with_language(asked, quantiles).collect()}
+    k = kneserney.PRIOR_DOCS
+    assert got["en"] == got["none"] == 1.0
+    assert all(abs(got[x] - (3.0 * counts[x] + k) / (counts[x] + k)) < 1e-9 for x in ("fr", "de")) and got["fr"] > 2.5

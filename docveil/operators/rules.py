@@ -47,7 +47,7 @@ def each(items: Column, make) -> Column:
     return F.transform(items, make)
 
 
-
+#: Beginnings of targets that lead outside; TIFF fields that identify a device or a person.
 EXTERNAL = r"(?i)^(?:https?:|ftp:|file:|mailto:|\\\\|[A-Za-z]:\\)"
 HIDDEN_IN_TIFF = ["cameraOwner", "bodySerial", "lensSerial", "imageUniqueId"]
 PERSONAL_IN_TIFF = ["artist", "copyright", "userComment", "description"]
@@ -81,23 +81,22 @@ def image_rules() -> dict[str, Column]:
 
 
 def pdf_rules() -> list[tuple[str, Column]]:
-    """PDF names that mark each feature (case matters)."""
-    script, opens = F.col("value").rlike(r"/(?:JavaScript|JS)(?![A-Za-z0-9_])"), F.col("value").rlike(r"/(?:OpenAction|AA)(?![A-Za-z0-9_])")
-    name = lambda *names: F.col("value").rlike(rf"/(?:{'|'.join(names)})(?![A-Za-z0-9_])")
-    ends, refs = tx.count_matches(F.col("value"), "%%EOF"), tx.count_matches(F.col("value"), "startxref")
+    """(fact, findings); the marks of a PDF are found while it is parsed."""
+    marks = F.split(F.col("value"), " ")
+    has = lambda mark: F.array_contains(marks, mark)
     author = F.lower(F.col("key")).contains("author")
     return [
         ("pdf_property", some(F.col("value").isNotNull(), finding(30, F.when(author, "identity").otherwise("privacy"), F.when(author, "medium").otherwise("low"), F.concat(F.lit("PDF "), F.col("key")), F.col("value"), F.col("path"), "A property that pages don't show.", "Rewrite the file with an editor that removes properties."))),
         ("pdf_urls", some(F.col("n") > 0, finding(31, "external", "medium", "External links", F.col("value"), F.col("path"), "Links to the web or to mail addresses; following one can be noticed."))),
-        ("pdf_text", some(script, finding(32, "active", "critical", "Embedded JavaScript", F.when(opens, "JavaScript with automatic or additional actions").otherwise("JavaScript action"), "PDF actions", "Scripts that some readers run.", "Open only in a hardened reader."))),
-        ("pdf_text", some(opens & ~script, finding(33, "active", "high", "Automatic document action", None, "PDF OpenAction/AA", "Something happens when the file or a page is opened."))),
-        ("pdf_text", some(name("Launch", "SubmitForm", "ImportData"), finding(34, "active", "critical", "Launch or submit action", None, "PDF actions", "Starts a program, sends a form or fetches data."))),
-        ("pdf_text", some(name("EmbeddedFiles", "FileSpec", "EmbeddedFile", "RichMedia"), finding(35, "embedded", "high", "Embedded files or rich media", None, "PDF name tree / file specification", "Other files are stored or referred to inside."))),
-        ("pdf_text", some(name("AcroForm", "XFA"), finding(36, "structure", "medium", "Interactive form data", None, "PDF AcroForm/XFA", "Form fields may hold what was typed into them."))),
-        ("pdf_raw", some(name("Encrypt"), finding(37, "structure", "high", "Encrypted PDF", None, "PDF trailer", "Parts can't be looked at without a password."))),
-        ("pdf_text", some(F.col("value").rlike(r"/Type\s*/Sig(?![A-Za-z0-9_])|/ByteRange\s*\["), finding(38, "integrity", "info", "Digital signature data", None, "PDF signature dictionary", "Signed; rewriting makes the signature invalid."))),
-        ("pdf_raw", some((ends > 1) | (refs > 1), finding(39, "structure", "medium", "Incremental save history", F.format_string("%d EOF markers · %d startxref markers", ends, refs), "PDF structure", "Saved more than once; older states may still be inside."))),
-        ("pdf_text", some(F.col("value").rlike("(?i)c2pa|jumbf|content credentials"), finding(40, "provenance", "info", "Possible Content Credentials data", None, "PDF metadata/boxes", "Strings of provenance data."))),
+        ("pdf", some(has("javascript"), finding(32, "active", "critical", "Embedded JavaScript", F.when(has("opens"), "JavaScript with automatic or additional actions").otherwise("JavaScript action"), "PDF actions", "Scripts that some readers run.", "Open only in a hardened reader."))),
+        ("pdf", some(has("opens") & ~has("javascript"), finding(33, "active", "high", "Automatic document action", None, "PDF OpenAction/AA", "Something happens when the file or a page is opened."))),
+        ("pdf", some(has("launch"), finding(34, "active", "critical", "Launch or submit action", None, "PDF actions", "Starts a program, sends a form or fetches data."))),
+        ("pdf", some(has("embedded"), finding(35, "embedded", "high", "Embedded files or rich media", None, "PDF name tree / file specification", "Other files are stored or referred to inside."))),
+        ("pdf", some(has("form"), finding(36, "structure", "medium", "Interactive form data", None, "PDF AcroForm/XFA", "Form fields may hold what was typed into them."))),
+        ("pdf", some(has("encrypted"), finding(37, "structure", "high", "Encrypted PDF", None, "PDF trailer", "Parts can't be looked at without a password."))),
+        ("pdf", some(has("signature"), finding(38, "integrity", "info", "Digital signature data", None, "PDF signature dictionary", "Signed; rewriting makes the signature invalid."))),
+        ("pdf_saves", some(F.col("n") > 1, finding(39, "structure", "medium", "Incremental save history", F.col("value"), "PDF structure", "Saved more than once; older states may still be inside."))),
+        ("pdf", some(has("provenance"), finding(40, "provenance", "info", "Possible Content Credentials data", None, "PDF metadata/boxes", "Strings of provenance data."))),
     ]
 
 
@@ -130,7 +129,7 @@ def relation_findings() -> Column:
 
 
 def office_rules() -> list[tuple[Column, Column]]:
-    """(which parts, findings)"""
+    """(which parts, findings). The patterns are fixed values: elements and attributes of Office Open XML."""
     part = lambda name: F.col("path") == name
     props = F.regexp_extract_all(F.col("value"), F.lit(r"(?is)(<property\b[^>]*>.*?</property>)"), F.lit(1))
     listed = F.transform(F.slice(props, 1, 30), lambda p: F.concat(F.coalesce(tx.attribute(F.regexp_extract(p, r"(?is)^(<property\b[^>]*>)", 1), "name"), F.lit("Unnamed")), F.lit(": "), tx.truncate(tx.strip_xml(F.regexp_extract(p, r"(?is)^<property\b[^>]*>(.*)</property>$", 1)), 100)))
@@ -145,7 +144,7 @@ def office_rules() -> list[tuple[Column, Column]]:
         (part("docProps/app.xml"), property_array(dims.APP_PROPERTIES, 52)),
         (part("docProps/custom.xml"), F.array(finding(53, "privacy", "medium", "Custom document properties", custom, F.col("path"), "Fields of a workflow, often with internal names.", action=CUSTOM))),
         (F.col("path").endswith(".rels"), relation_findings()),
-        (part("word/document.xml") & F.col("key").isin("docx", "late"), F.concat(F.coalesce(some(hidden > 0, finding(64, "structure", "medium", "Hidden Word text", F.concat(hidden.cast("string"), F.lit(" hidden text markers")), F.col("path"), "Text that is formatted as hidden.")), F.array().cast(f"array<struct<{as_ddl()}>>")),
+        (part("word/document.xml") & (F.col("key") == "docx"), F.concat(F.coalesce(some(hidden > 0, finding(64, "structure", "medium", "Hidden Word text", F.concat(hidden.cast("string"), F.lit(" hidden text markers")), F.col("path"), "Text that is formatted as hidden.")), F.array().cast(f"array<struct<{as_ddl()}>>")),
             F.coalesce(some(F.size(codes) > 0, finding(65, "active", "high", "External or dynamic field codes", F.array_join(F.slice(codes, 1, 8), " · "), F.col("path"), "Fields that fetch data or talk to other programs.")), F.array().cast(f"array<struct<{as_ddl()}>>")))),
         (part("xl/workbook.xml") & (F.col("key") == "xlsx"), some(F.size(sheets) > 0, finding(66, "structure", "high", "Hidden workbook sheets", shown, F.col("path"), "Sheets that a reader can show again."))),
     ]
@@ -171,10 +170,12 @@ def row_findings(facts: DataFrame) -> DataFrame:
     return exploded(facts.where(F.col("fact").isin(wanted)), "file_id", "seq", found=rules)
 
 
-def type_columns(files: DataFrame, facts: DataFrame) -> DataFrame:
+def type_columns(facts: DataFrame) -> DataFrame:
     """file_id, name, length, claimed_mime, sha256, type_name, kind, label, mime, extension, mismatch, error."""
-    found = facts.where("fact = 'type'").select("file_id", F.col("key").alias("type_name"), F.col("value").alias("error"))
-    rows = files.select("file_id", "name", "claimed_mime", "length", F.sha2("content", 256).alias("sha256")).join(found, "file_id")
+    of = lambda fact, column: F.max(F.when(F.col("fact") == fact, F.col(column)))
+    rows = facts.where("fact in ('file', 'type')").groupBy("file_id").agg(
+        of("file", "path").alias("name"), of("file", "key").alias("claimed_mime"), of("file", "n").alias("length"), of("file", "value").alias("sha256"), of("type", "key").alias("type_name"), of("type", "value").alias("error")
+    )
     spec = lambda at: F.create_map(*[F.lit(x) for k, v in dims.TYPES.items() for x in (k, v[at])])[F.col("type_name")]
     allowed = F.create_map(*[x for k, v in dims.TYPES.items() for x in (F.lit(k), F.array(*map(F.lit, v[3])).cast("array<string>"))])[F.col("type_name")]
     ext = tx.extension(F.col("name"))
@@ -202,15 +203,14 @@ def dispatch_findings(types: DataFrame) -> DataFrame:
 def file_findings(facts: DataFrame, types: DataFrame) -> DataFrame:
     """Findings that need several facts of a file. A file's parts are bounded by the archive limits."""
     named = types.select("file_id", F.col("name").alias("file_name"), "type_name")
-    rows = facts.where("fact in ('entry', 'part', 'provenance')").join(named, "file_id")
+    rows = facts.where("fact in ('entry', 'part', 'provenance', 'invisible')").join(named, "file_id")
     entry, part, name = F.col("fact") == "entry", F.col("fact") == "part", F.col("path")
     real = entry & ~name.endswith("/")
     names = lambda c: F.array_sort(F.collect_list(F.when(c, F.struct("seq", "path"))))
     plain = lambda c: F.transform(c, lambda x: x["path"])
     total = lambda c, v: F.sum(F.when(c, v).otherwise(0))
     discussion = name.rlike(r"(?i)(?:^|/)(?:comments|threadedComments|persons)\d*\.xml$|word/(?:commentsExtended|commentsIds|people)\.xml$")
-    xml = part & name.endswith(".xml") & ~name.startswith("_xmlsignatures/") & (F.col("key") != "late")
-    zero, bidi = tx.count_matches(F.col("value"), tx.ZERO_WIDTH), tx.count_matches(F.col("value"), tx.BIDI)
+    invisible_ = F.col("fact") == "invisible"
     authors = F.regexp_extract_all(F.col("value"), F.lit(r"""(?i)author=["']([^"']+)["']"""), F.lit(1))
     one = rows.groupBy("file_id", "file_name", "type_name").agg(
         total(entry & (F.col("key") == "encrypted"), 1).alias("encrypted"),
@@ -225,12 +225,12 @@ def file_findings(facts: DataFrame, types: DataFrame) -> DataFrame:
         names(real & name.startswith("xl/externalLinks/")).alias("books"),
         names(part & name.rlike(r"(?i)^ppt/slides/slide\d+\.xml$") & F.col("value").rlike(r"""(?i)(?<![A-Za-z0-9_])show=["']0["']""")).alias("slides"),
         total(entry & name.rlike(r"(?i)^ppt/notesSlides/notesSlide\d+\.xml$"), 1).alias("notes"),
-        total(xml, zero).alias("zero"), total(xml, bidi).alias("bidi"),
-        names(xml & ((zero > 0) | (bidi > 0))).alias("affected"),
+        total(invisible_ & (F.col("key") == "zero_width"), F.col("n")).alias("zero"), total(invisible_ & (F.col("key") == "bidi"), F.col("n")).alias("bidi"),
+        names(invisible_).alias("affected"),
         F.max(F.when(F.col("fact") == "provenance", F.col("path"))).alias("provenance"),
     )
     kind, office = F.col("type_name"), F.col("type_name").isin("docx", "xlsx", "pptx")
-    head = lambda c, n: F.array_join(F.slice(plain(F.col(c)), 1, n), ", ")
+    head = lambda c, n: F.array_join(F.slice(F.array_distinct(plain(F.col(c))), 1, n), ", ")
     joined = lambda c: F.array_join(plain(F.col(c)), ", ")
     counted = lambda c, words: F.concat(F.col(c).cast("string"), F.lit(words))
     talks = F.slice(F.col("talks"), 1, 20)

@@ -24,12 +24,16 @@ class Scan:
     findings: DataFrame
     summary: DataFrame
 
+    def release(self) -> None:
+        """Frees the stored facts, once results are written."""
+        self.facts.unpersist()
+
 
 def scan(files: DataFrame, facts: DataFrame | None = None) -> Scan:
     """files: see ``facts.from_table``. Facts are parsed once; pass stored ones to reuse them at scale."""
     files = source.from_table(files)
     facts = source.facts(files).persist() if facts is None else facts
-    types = rules.type_columns(files, facts)
+    types = rules.type_columns(facts)
     every = rules.dispatch_findings(types).unionByName(rules.row_findings(facts)).unionByName(rules.file_findings(facts, types))
     found = fo.ordered(fo.deduplicated(every))
     return Scan(files, facts, types, found, fo.summary(found, types))
@@ -42,8 +46,8 @@ def reports(s: Scan) -> DataFrame:
     actions = fo.offered_actions(s.findings, s.types).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("action", "label", "default", "destructive"))).alias("actions"))
     extra = s.facts.groupBy("file_id").agg(
         F.max(F.when(F.col("fact") == "fingerprint", F.col("value"))).alias("fingerprint"), F.max(F.when(F.col("fact") == "preview", F.col("value"))).alias("preview"),
-        F.max(F.when(F.col("fact") == "pdf_raw", F.col("key"))).alias("pdf_version"), F.bool_or((F.col("fact") == "provenance") | ((F.col("fact") == "pdf_text") & F.col("value").rlike("(?i)c2pa|jumbf|content credentials"))).alias("provenance"),
-        F.count_if(F.col("fact") == "entry").alias("parts"), F.count_if(F.col("fact") == "piece").alias("pieces"), F.max(F.when(F.col("fact") == "pdf_raw", F.col("n"))).alias("streams"),
+        F.max(F.when(F.col("fact") == "pdf", F.col("key"))).alias("pdf_version"), F.bool_or((F.col("fact") == "provenance") | ((F.col("fact") == "pdf") & F.array_contains(F.split("value", " "), "provenance"))).alias("provenance"),
+        F.count_if(F.col("fact") == "entry").alias("parts"), F.count_if(F.col("fact") == "piece").alias("pieces"), F.max(F.when(F.col("fact") == "pdf", F.col("n"))).alias("streams"),
     )
     rows = s.types.join(s.summary, "file_id").join(listed, "file_id", "left").join(actions, "file_id", "left").join(extra, "file_id", "left")
     none = lambda c, like: F.coalesce(F.col(c), F.array().cast(dict(like.dtypes)[c]))

@@ -11,7 +11,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +19,11 @@ from docveil.functions import text as tx
 from docveil.operators import dims
 
 from . import images, pdfs
+from .batches import in_batches, rows_of
 from .zipfiles import Archive, ZipError
 
 SCHEMA = "file_id string, seq int, fact string, path string, key string, value string, n bigint"
+ARROW = pa.schema([("file_id", pa.string()), ("seq", pa.int32()), *((x, pa.string()) for x in ("fact", "path", "key", "value")), ("n", pa.int64())])
 FILES = "file_id string, name string, claimed_mime string, length bigint, content binary"
 TEXT_PARTS = 2000
 
@@ -136,19 +138,41 @@ def image_facts(kind: str, b: bytes) -> Iterator[tuple]:
     yield ("fingerprint", "", None, hashlib.sha256(images.pixel_bytes(kind, b)).hexdigest(), None)
 
 
+#: Names and words that mark a PDF feature, in the raw bytes and inflated streams.
+PDF_MARKS = {
+    "javascript": r"/(?:JavaScript|JS)(?![A-Za-z0-9_])",
+    "opens": r"/(?:OpenAction|AA)(?![A-Za-z0-9_])",
+    "launch": r"/(?:Launch|SubmitForm|ImportData)(?![A-Za-z0-9_])",
+    "embedded": r"/(?:EmbeddedFiles|FileSpec|EmbeddedFile|RichMedia)(?![A-Za-z0-9_])",
+    "form": r"/(?:AcroForm|XFA)(?![A-Za-z0-9_])",
+    "signature": r"/Type\s*/Sig(?![A-Za-z0-9_])|/ByteRange\s*\[",
+    "provenance": r"(?i)c2pa|jumbf|content credentials",
+}
+PDF_PATTERNS = {mark: re.compile(p) for mark, p in PDF_MARKS.items()}
+ENCRYPTED = re.compile(r"/Encrypt(?![A-Za-z0-9_])")
+
+
 def pdf_facts(b: bytes) -> Iterator[tuple]:
     raw = pdfs.cp1252(b)
     more = pdfs.streams(b)
     whole = "\n".join([raw, *map(pdfs.cp1252, more)])
-    for key, value in pdfs.properties(whole):
+    info, linked = pdfs.values(whole)
+    for key, value in pdfs.properties(whole, info):
         yield ("pdf_property", "PDF Info/XMP", key, value, None)
-    if links := pdfs.urls(whole):
+    if links := pdfs.urls(whole, linked):
         yield ("pdf_urls", "PDF annotations/actions", None, " · ".join(links[:12]), len(links))
-    yield ("pdf_raw", "", (re.match(r"%PDF-([0-9.]+)", raw) or [None, None])[1], raw, len(more))
-    yield ("pdf_text", "", None, whole, len(more))
+    marks = [mark for mark, p in PDF_PATTERNS.items() if p.search(whole)] + ["encrypted"] * bool(ENCRYPTED.search(raw))
+    ends, refs = b.count(b"%%EOF"), b.count(b"startxref")
+    yield ("pdf", "", (re.match(r"%PDF-([0-9.]+)", raw) or [None, None])[1], " ".join(marks), len(more))
+    yield ("pdf_saves", "", None, f"{ends} EOF markers · {refs} startxref markers", max(ends, refs))
     yield ("fingerprint", "", None, hashlib.sha256(b).hexdigest(), None)
 
 
+INVISIBLE = {"zero_width": re.compile(tx.ZERO_WIDTH), "bidi": re.compile(tx.BIDI)}
+#: Parts whose text the rules read; of others only what is counted here becomes a fact.
+LOOKED_INTO = re.compile(r"\.rels$|^docProps/|^word/(?:document|settings)\.xml$|^xl/workbook\.xml$|^ppt/slides/slide\d+\.xml$|(?:^|/)(?:comments|threadedComments|persons)\d*\.xml$|^word/(?:commentsExtended|commentsIds|people)\.xml$", re.I)
+
+
 def zip_facts(b: bytes) -> Iterator[tuple]:
     try:
         zip_ = Archive(b)
@@ -163,11 +187,14 @@ def zip_facts(b: bytes) -> Iterator[tuple]:
     texts = 0
     for n, e in zip_.entries.items():
         yield ("entry", n, "encrypted" if e.encrypted else "directory" if e.directory else "file", str(e.crc), e.size)
-        if n.endswith((".xml", ".rels")):
-            texts += n.endswith(".xml") and not n.startswith("_xmlsignatures/")
-            value = zip_.text(n)
-            if value:
-                yield ("part", n, office if texts <= TEXT_PARTS else "late", value, None)
+        if n.endswith((".xml", ".rels")) and (value := zip_.text(n)):
+            if n.endswith(".xml") and not n.startswith("_xmlsignatures/"):
+                texts += 1
+                for kind, pattern in INVISIBLE.items():
+                    if texts <= TEXT_PARTS and (found := len(pattern.findall(value))):
+                        yield ("invisible", n, kind, None, found)
+            if LOOKED_INTO.search(n):
+                yield ("part", n, office, value, None)
     try:
         yield ("fingerprint", "", None, fingerprint(zip_, office), None)
     except ZipError as x:
@@ -188,12 +215,22 @@ def file_facts(kind: str, b: bytes) -> Iterator[tuple]:
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """All facts of the files, without a shuffle."""
+    """All facts of the files, without a shuffle; the first one of each file has its name, claimed type, length and SHA-256."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file_id, kind, content in zip(batch["file_id"], batch["kind"], batch["content"], strict=True):
-                rows = [(file_id, k, *f) for k, f in enumerate(file_facts(kind, bytes(content)))]
-                yield pd.DataFrame(rows, columns=["file_id", "seq", "fact", "path", "key", "value", "n"]).astype({"n": "Int64"})
+            yield from in_batches(every(batch), ARROW)
+
+    def every(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for r in rows_of(batch):
+            content = r["content"]
+            yield (r["file_id"], 0, "file", r["name"], r["claimed_mime"], hashlib.sha256(content).hexdigest(), len(content))
+            for k, (fact, path, key, value, n) in enumerate(file_facts(r["kind"], content), 1):
+                yield (r["file_id"], k, fact, clean_text(path), clean_text(key), clean_text(value), n)
+
+    return files.select("file_id", "name", "claimed_mime", magic_kind(F.col("content")).alias("kind"), "content").where("content is not null").mapInArrow(run, SCHEMA)
+
 
-    return files.select("file_id", magic_kind(F.col("content")).alias("kind"), "content").mapInPandas(run, SCHEMA)
+def clean_text(value: str | None) -> str | None:
+    """Text that can be written as UTF-8 (lone surrogates become question marks)."""
+    return value if value is None or value.isascii() else value.encode("utf-8", "replace").decode()

@@ -64,7 +64,8 @@ def test_tiff_and_png_text():
 def test_pdf_strings_and_streams():
     assert pdfs.literal(r"(a\(b\)\101\n)") == "a(b)A" and pdfs.literal("<FEFF00410042>") == "AB"
     assert "/Launch" in pdfs.text(make.pdf(packed="/Launch x"))
-    assert pdfs.urls("/URI (https://a.example/x) https://a.example/x mailto:m@a.example") == ["https://a.example/x", "mailto:m@a.example"]
+    text = "/URI (https://a.example/x) https://a.example/x mailto:m@a.example"
+    assert pdfs.urls(text, pdfs.values(text)[1]) == ["https://a.example/x", "mailto:m@a.example"]
 
 
 def test_image_cleaning_keeps_pixels():

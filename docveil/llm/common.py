@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zlib
@@ -83,6 +84,27 @@ def crc_of_ids(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column of df is called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def give_back_memory(large: int = 1 << 20) -> None:
+    """Makes this worker return arrays of more than ``large`` bytes to the system as soon as they are freed.
+
+    glibc otherwise raises that limit up to 32 MB as arrays are freed, and a worker that is used again keeps them.
+    """
+    import ctypes
+
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, large)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+
+
 def small_enough(df: DataFrame, most_rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than that."""
     return df.limit(most_rows + 1).count() <= most_rows

@@ -1,16 +1,18 @@
 """Toxicity by weak supervision.
 
 Voters: words of a fixed lexicon, phrase patterns, and word stems that labelled training documents show to go with the
-label. A generative label model over all voters' votes estimates each voter's hit rates in toxic and clean documents
-by expectation maximisation, and the correlations that are left between voters given the class; voters that agree beyond
-what the class explains share one vote. The annotator's label of a training row is one more voter, of accuracy
-``ANNOTATOR``. The posteriors are the soft labels on which a linear (logistic) classifier over voter counts is trained.
-Labels also choose stems and set the class balance; they are read only for training rows, in a bounded sample: at most
-about ``MAX_TRAIN`` labelled documents of each class, chosen by a hash of the id.
+label (labels choose these voters). A voter that finds nothing abstains. A generative label model over the votes alone, which never
+sees a document's own label, estimates by expectation maximisation how accurate each voter is (how often the class is
+toxic where it fires) and the correlations that are left between voters given the class: voters that agree beyond what the
+class explains, such as stems of one word, share one vote. The share of toxic documents is held at that of the labels.
+The posteriors are the soft labels on which a linear (logistic) classifier over voter counts is trained. Labels are read
+only for training rows, in a bounded sample: at most about ``MAX_TRAIN`` labelled documents of each class, chosen by a
+hash of the id.
 
 Prediction finds all voters in one pass over the whole text with an Aho-Corasick automaton, without a shuffle; the
 model is bounded by ``MAX_VOTERS``. Null, empty and wordless texts get the score of a text without any hit. Without labels the
-lexicon alone votes. Repeated rows get the same result.
+lexicon alone votes. Repeated rows get the same result; repeated label rows count once, toxic if any says so. Other columns are
+not read (``keep_clean`` passes them through as they are).
 """
 
 from __future__ import annotations
@@ -29,9 +31,11 @@ from .common import held_out, in_chunks
 
 MAX_TRAIN = 4000
 MAX_VOTERS = 400
-LEAST_DOCS = 6
+LEAST_DOCS = 4
+LEAST_PRECISION = 0.7
 ROUNDS = 30
-ANNOTATOR = 0.99
+ACCURACY, STRENGTH = 0.9, 20.0  # what is thought of a voter before votes are seen, and of how many votes
+SAME_VOTE = 0.6
 
 LEXICON = """
 idiot moron stupid dumb loser pathetic worthless disgusting trash scum clown garbage fool imbecile jerk creep freak vermin
@@ -57,39 +61,46 @@ def stems(word: str) -> set[str]:
 class Model:
     voters: list[str]
     weights: np.ndarray  # per voter, then any hit, then all hits a word, then the bias
-    rates: dict = field(default_factory=dict)
+    seen: dict = field(default_factory=dict)  # of the label model
 
 
-def label_model(votes: np.ndarray, marked: np.ndarray, balance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of each row, hit rates (class, voter) and share of each voter's vote.
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    votes: boolean (rows, voters). marked: the annotator's votes. The class balance is held fixed.
-    """
+
+def intercept(s: np.ndarray, mean: float) -> float:
+    """What to add to s so that the mean of its sigmoid is as asked."""
+    low, high = -60.0, 60.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if sigmoid(s + middle).mean() > mean else (middle, high)
+    return (low + high) / 2
+
+
+def label_model(votes: np.ndarray, balance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of each row, accuracy of each voter and share of its vote; votes: boolean (rows, voters), false: abstains."""
     v = votes.astype(np.float64)
-    share = np.ones(v.shape[1])
-    annotator = np.log(ANNOTATOR / (1 - ANNOTATOR)) * (2.0 * marked - 1)
-    q = np.where(marked > 0, ANNOTATOR, 1 - ANNOTATOR)
+    fired = v.sum(axis=0)
+    accuracy, share = np.full(v.shape[1], ACCURACY), np.ones(v.shape[1])
     for round_ in range(ROUNDS):
-        weight = np.stack([1 - q, q])
-        rate = (weight @ v + 0.5 * np.array([[0.002], [0.2]])) / (weight.sum(axis=1, keepdims=True) + 0.5)
-        rate = np.clip(rate, 1e-5, 1 - 1e-5)
-        if round_ % 5 == 4:  # correlations given the class: what q leaves unexplained
-            left = v - (q[:, None] * rate[1] + (1 - q)[:, None] * rate[0])
+        evidence = v @ (share * (np.log(accuracy / (1 - accuracy)) - np.log(balance / (1 - balance))))
+        q = sigmoid(evidence + intercept(evidence, balance))
+        accuracy = np.clip((q @ v + STRENGTH * ACCURACY) / (fired + STRENGTH), balance + 1e-3, 0.99)
+        if round_ % 5 == 4:  # what the class leaves unexplained
+            rates = (q @ v) / max(q.sum(), 1e-9), ((1 - q) @ v) / max((1 - q).sum(), 1e-9)
+            left = v - (q[:, None] * rates[0] + (1 - q)[:, None] * rates[1])
             sd = np.sqrt((left**2).mean(axis=0)) + 1e-9
             correlation = (left.T @ left) / len(left) / sd[:, None] / sd[None, :]
             np.fill_diagonal(correlation, 1.0)
-            share = 1.0 / np.where(correlation > 0.3, correlation, 0.0).sum(axis=1)
-        hit, miss = np.log(rate), np.log1p(-rate)
-        z = np.log(balance / (1 - balance)) + annotator + v @ (share * (hit[1] - hit[0])) + (1 - v) @ (share * (miss[1] - miss[0]))
-        q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return q, rate, share
+            share = 1.0 / np.where(correlation > SAME_VOTE, correlation, 0.0).sum(axis=1)
+    return q, accuracy, share
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: np.ndarray, steps: int = 25) -> np.ndarray:
     """Newton steps for soft labels y; penalty is per column."""
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = sigmoid(x @ w)
         g = x.T @ (p - y) + penalty * w
         h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
         step = np.linalg.solve(h, g)
@@ -136,13 +147,8 @@ def mine(rows: list[tuple[str, int]]) -> list[str]:
         seen[y].update(set().union(*(stems(w) for w in set(text.split()) if len(w) >= 4)) if text.strip() else ())
     if not min(total):
         return []
-    gain = {}
-    for s, n in seen[1].items():
-        clean = seen[0][s]
-        lift = ((n + 0.5) / (total[1] + 1)) / ((clean + 0.5) / (total[0] + 1))
-        if n >= LEAST_DOCS and lift >= 4:
-            gain[s] = n * np.log(lift)
-    best = sorted(gain, key=lambda s: (-gain[s], len(s), s))[: 8 * MAX_VOTERS]
+    telling = {s: n - 3 * seen[0][s] for s, n in seen[1].items() if n >= LEAST_DOCS and n >= LEAST_PRECISION * (n + seen[0][s])}
+    best = sorted(telling, key=lambda s: (-telling[s], len(s), s))[: 8 * MAX_VOTERS]
     out: list[str] = []
     marks: set[tuple] = set()
     for s in best:
@@ -163,11 +169,11 @@ def train_on(rows: list[tuple[str, int]]) -> Model:
         return Model(voters, weights)
     counts, words = find([t for t, _ in rows], automaton(voters), len(voters))
     y = np.array([k for _, k in rows], dtype=float)
-    q, rate, share = label_model(counts > 0, y, float(y.mean()))
+    q, accuracy, share = label_model(counts > 0, float(y.mean()))
     x = inputs(counts, words)
     penalty = np.full(x.shape[1], 2.0)
     penalty[-1] = 0.0
-    return Model(voters, logistic(x, q, penalty), {"rates": rate, "share": share})
+    return Model(voters, logistic(x, q, penalty), {"accuracy": accuracy, "share": share, "posterior": q})
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN) -> Model:
@@ -193,7 +199,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
             for a, b in in_chunks(texts, 2_000_000):
                 z = inputs(*find(texts[a:b], found, len(voters))) @ weights
-                score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                score = sigmoid(z)
                 yield batch.iloc[a:b].drop(columns="text").assign(score=score, predicted=(score >= 0.5).astype(np.int32))
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"), F.col(text_col).alias("text"))

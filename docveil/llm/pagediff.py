@@ -1,17 +1,20 @@
 """Main text of web pages by differencing each page with its nearest neighbour on the same host.
 
 Pages are ordered by host, URL path and id (a range partitioning: a large host spans many tasks). A page's partner is
-the page before or after it on its host whose path has more in common with its own. Both pages become lines, one per
-block element, and the longest common subsequence of the two lists is what the site's template put there: it is deleted.
+the page before or after it on its host whose path has more in common with its own; one with other lines than the page itself goes
+before a copy. Both pages become lines, one per block element, and the longest common subsequence of the two lists is what
+the site's template put there: it is deleted, on every page.
 
 Differencing alone can't give right results: menus and adverts change from page to page, and articles of one site may
-share whole paragraphs. So elements that HTML, ARIA roles or usual class names mark as navigation, headers, footers,
-sidebars, notices, adverts, forms or comments never give lines of text, and lines inside ``article`` or ``main`` are
-kept even if a partner has them. A page with such an element is its text alone; another page is what differencing leaves,
-or all its lines if that is nothing (a copy of its partner).
+share whole paragraphs. So markup guards its result in two ways: a line inside ``article`` or ``main`` is deleted only if it is nothing
+but links, and lines of elements that HTML, ARIA roles or usual class names mark as navigation, headers, footers, sidebars,
+notices, adverts, forms or comments never become text, shared or not. All other lines are decided by differencing. If
+it leaves nothing of a page without an article (a copy of its partner), all unmarked lines stay.
 
-Null and empty pages give an empty text. A page without a partner is not differenced. A null URL is a host of its own.
-Repeated rows are pages of their own. A partition's first and last pages look for a partner within the partition.
+The first and last page of each partition are decided in a second step, which sees the neighbours across the border, so the
+number of partitions doesn't matter. Null and empty pages give an empty text. A page without a partner is not differenced. A null URL is a
+host of its own. Repeated rows are pages of their own; null ids stay null; no rows give no rows; other columns aren't read.
+Scanning takes time in proportion to a page's length, whatever is unclosed in it.
 """
 
 from __future__ import annotations
@@ -21,14 +24,21 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+from .common import give_back_memory, materialize
+
+NAME = re.compile(r"/?([a-zA-Z][\w:-]*)")
+PLAIN = re.compile(r"[^>\"']*")
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?![\w-])""", re.I)
 WORD = re.compile(r"[a-z]+")
+HIDDEN = re.compile(r"display\s*:\s*none")
 
+LISTS = ("ul", "ol", "menu", "dir")
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "object", "svg", "math", "select", "button", "head", "audio", "video", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = set(
@@ -44,99 +54,172 @@ NAMES = set(
     "pagination pager toolbar login search".split()
 )
 PAGE_NAMES = {"header", "masthead", "topbar", "banner", "alert"}  # only outside of an article
+#: Words that may stand beside these in a class name, as in cookie-banner; with any other word it means something else.
+BESIDE = set("area bar block body bottom box button buttons container content footer global group header inner item items left link links list main module page panel right section site sticky text title top wrap wrapper".split())
+MARKED, INSIDE, LINKS = 1, 2, 4  # in a boilerplate element; in an article; nothing but links
+
+
+def telling(token: str, names: set[str]) -> bool:
+    words = set(WORD.findall(token))
+    return bool(words & names) and words <= names | BESIDE
 
 
 def marked(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element is boilerplate; inside: it stands in an article."""
     if tag in BOILERPLATE or (tag == "header" and not inside):
         return True
-    if "=" not in attributes and "hidden" not in attributes or tag in MAIN or tag in ("body", "html"):
+    if not attributes.strip(" /\t\n") or tag in MAIN or tag in ("body", "html"):
         return False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
-            words = set(WORD.findall(value))
-            if words & NAMES or (not inside and words & PAGE_NAMES):
+            names = NAMES if inside else NAMES | PAGE_NAMES
+            if any(telling(token, names) for token in value.split()):
                 return True
-        elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+        elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
             return True
     return False
 
 
-def lines(page: str) -> tuple[list[str], list[str], bool]:
-    """Lines inside articles, other lines, and whether there is an article. Boilerplate gives none."""
-    main: list[str] = []
-    other: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, in an article
-    held: list[str] = []
-    at, any_main = 0, False
-
-    def flush() -> None:
-        if held:
-            text = " ".join(html_lib.unescape("".join(held)).split())
-            held.clear()
-            if text and not (stack and stack[-1][1]):
-                (main if stack and stack[-1][2] else other).append(text)
-
-    n = len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            held.append(page[at:])
-            break
-        held.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
-            continue
-        tag, attributes = tag.lower(), m[3] if m[2] else m[6]
-        if m[1] or m[4]:
-            if tag in BLOCKS or any(t == tag for t, _, _ in stack[-1:]):
-                if tag in BLOCKS:
-                    flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        flush()
-                        del stack[k:]
-                        break
-            continue
+class Scanner:
+    """One pass over a page; every search that comes to the end of the page without finding is remembered."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.quotes = page, True
+        self.lines: list[str] = []
+        self.flags: list[int] = []
+        self.stack: list[tuple[str, int]] = []  # tag and flags
+        self.open_at: dict[str, list[int]] = {}
+        self.held: list[str] = []
+        self.plain, self.link, self.never = False, 0, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.never:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.never.add(what)
+        return found
+
+    def text(self, piece: str) -> None:
+        self.held.append(piece)
+        self.plain |= not self.link and not piece.isspace() and piece != ""
+
+    def flush(self) -> None:
+        if self.held:
+            line = " ".join(html_lib.unescape("".join(self.held)).split())
+            if line:
+                self.lines.append(line)
+                self.flags.append((self.stack[-1][1] if self.stack else 0) | (0 if self.plain else LINKS))
+        self.held, self.plain = [], False
+
+    def push(self, tag: str, flags: int) -> None:
+        self.open_at.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, flags))
+
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.open_at[self.stack.pop()[0]].pop()
+
+    def last(self, *tags: str) -> int:
+        return max((self.open_at[t][-1] for t in tags if self.open_at.get(t)), default=-1)
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag closes; quotes count until one tag of the page turns out to be unclosed because of them."""
+        start = at
+        while self.quotes:
+            at = PLAIN.match(self.page, at).end()
+            if at >= len(self.page):
+                self.quotes = False
+            elif self.page[at] == ">":
+                return at
+            else:
+                end = self.find(self.page[at], at + 1)
+                at = (end if end >= 0 else at) + 1
+        return self.find(">", start)
+
+    def run(self) -> tuple[list[str], list[int]]:
+        page, at = self.page, 0
+        while (start := self.find("<", at)) >= 0:
+            self.text(page[at:start])
+            if page.startswith("<!--", start):
+                end = self.find("-->", start + 4)
+                at = end + 3 if end >= 0 else len(page)
+                continue
+            name = NAME.match(page, start + 1)
+            if name is None and page[start + 1 : start + 2] not in ("!", "?", "/"):
+                self.text("<")
+                at = start + 1
+                continue
+            end = self.tag_end(name.end() if name else start + 1)
+            if end < 0:  # nothing closes any more
+                at = start if name is None else len(page)
+                break
+            at = end + 1
+            if name and page[start + 1] == "/":
+                self.close(name[1].lower())
+            elif name:
+                at = self.open(name[1].lower(), page[name.end() : end], at)
+        if at < len(page):
+            self.text(page[at:])
+        self.flush()
+        return self.lines, self.flags
+
+    def close(self, tag: str) -> None:
+        if tag == "a":
+            self.link = max(0, self.link - 1)
+        place = self.last(tag)
+        if tag in BLOCKS:
+            self.flush()
+            if place >= 0:
+                self.cut(place)
+        elif place >= 0 and place == len(self.stack) - 1:
+            self.flush()
+            self.cut(place)
+
+    def open(self, tag: str, attributes: str, at: int) -> int:
         if tag in VOID:
-            held.append(" ")
+            self.text(" ")
             if tag == "hr":
-                flush()
-            continue
+                self.flush()
+            return at
         if tag in RAW:
-            if not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                if tag == "head" and end is None:
-                    continue
-                at = end.end() if end else n
-            held.append(" " if tag not in ("script", "style", "noscript", "template") else "")
-            continue
-        boiler, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        own = marked(tag, attributes, inside)
+            return self.raw(tag, attributes, at)
+        flags = self.stack[-1][1] if self.stack else 0
+        own = marked(tag, attributes, bool(flags & INSIDE))
         if tag in BLOCKS:
-            flush()
-            if stack and stack[-1][0] == "p":
-                stack.pop()
-                boiler, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            if tag == "li":
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ("ul", "ol", "menu", "dir"):
-                        break
-                    if stack[k][0] == "li":
-                        del stack[k:]
-                        boiler, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                        break
-            any_main |= tag in MAIN and not boiler
-            stack.append((tag, boiler or own, inside or tag in MAIN))
+            self.flush()
+            self.link = 0
+            if self.stack and self.stack[-1][0] == "p":
+                self.cut(len(self.stack) - 1)
+            if tag == "li" and self.last("li") > self.last(*LISTS):
+                self.cut(self.last("li"))
+            flags = self.stack[-1][1] if self.stack else 0
+            self.push(tag, flags | (MARKED if own else 0) | (INSIDE if tag in MAIN else 0))
         elif own:
-            flush()
-            stack.append((tag, True, inside))
+            self.flush()
+            self.push(tag, flags | MARKED)
+        elif tag == "a":
+            self.link += 1
         elif tag in ("td", "th"):
-            held.append(" ")
-    flush()
-    return main, other, any_main
+            self.text(" ")
+        return at
+
+    def raw(self, tag: str, attributes: str, at: int) -> int:
+        """Past an element whose content isn't text; without an end it takes the rest, but for an unclosed head."""
+        if not attributes.endswith("/") and ("/" + tag) not in self.never:
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(self.page, at)
+            if end is None:
+                self.never.add("/" + tag)
+            at = end.end() if end else at if tag == "head" else len(self.page)
+        if tag not in ("script", "style", "noscript", "template"):
+            self.text(" ")
+        return at
+
+
+def lines(page: str) -> tuple[list[str], list[int]]:
+    """The page's lines and their flags."""
+    return Scanner(page).run()
 
 
 def shared(a: list[str], b: list[str]) -> set[int]:
@@ -171,38 +254,77 @@ def in_common(a: str, b: str) -> int:
     return n
 
 
-def text_of(main: list[str], other: list[str], any_main: bool, partner: list[str] | None) -> str:
-    if any_main:
-        return "\n".join(main)
-    gone = shared(other, partner) if partner else set()
-    return "\n".join([t for i, t in enumerate(other) if i not in gone] or other)
+def keys_of(texts: list[str]) -> np.ndarray:
+    """A 64-bit hash for each line: all that a partner needs."""
+    return pd.util.hash_array(np.array(texts, dtype=object), categorize=False).astype(np.uint64) if texts else np.zeros(0, np.uint64)
+
+
+def text_of(texts: list[str], flags: list[int], keys: list[int], partner: list[int] | None) -> str:
+    gone = shared(keys, partner) if partner else set()
+
+    def stays(i: int) -> bool:
+        return not flags[i] & MARKED and (i not in gone or flags[i] & (INSIDE | LINKS) == INSIDE)
+
+    kept = [t for i, t in enumerate(texts) if stays(i)]
+    if not kept and not any(f & INSIDE for f in flags):
+        kept = [t for i, t in enumerate(texts) if not flags[i] & MARKED]
+    return "\n".join(kept)
+
+
+def best_partner(host: str, path: str, keys: list[int], near: list[tuple | None]) -> list[int] | None:
+    """Lines of the candidate (host, path, keys) on the same host with the nearest path; copies come last, the first of equals wins."""
+    there = [p for p in near if p is not None and p[0] == host]
+    return max(there, key=lambda p: (p[2] != keys, in_common(p[1], path)))[2] if there else None
+
+
+PAGE = "host string, path string, keys binary"
+OUT = f"page_id long, url string, text string, part int, last boolean, host string, path string, lines array<string>, flags binary, inner struct<{PAGE}>"
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", partitions: int | None = None) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages."""
 
+    def packed(page: tuple | None) -> dict | None:
+        return None if page is None else {"host": page[2], "path": page[3], "keys": np.array(page[6], dtype="<u8").tobytes()}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = now = None  # (id, url, host, path, main, other, any_main)
+        from pyspark import TaskContext
+
+        give_back_memory()
+        part = TaskContext.get().partitionId()
+        before = now = None  # (id, url, host, path, lines, flags, keys)
+
+        def inside(page: tuple, after: tuple) -> tuple:
+            near = [None if p is None else (p[2], p[3], p[6]) for p in (before, after)]
+            return (page[0], page[1], text_of(*page[4:], best_partner(page[2], page[3], page[6], near)), None, None, None, None, None, None, None)
 
-        def finish(page: tuple, after: tuple | None) -> tuple:
-            near = [p for p in (last, after) if p is not None and p[2] == page[2]]
-            best = max(near, key=lambda p: in_common(p[3], page[3]), default=None)  # the first of equals
-            return page[0], page[1], text_of(*page[4:], best[5] if best else None)
+        def border(page: tuple, last: bool | None, inner: tuple | None) -> tuple:
+            return (page[0], page[1], None, part, last, page[2], page[3], page[4], bytes(page[5]), packed(inner))
 
         for batch in batches:
             out = []
             for i, url, host, path, page in zip(batch["id"], batch["u"], batch["host"], batch["path"], batch["h"], strict=True):
-                new = (i, url, host, path, *lines(page if isinstance(page, str) else ""))
+                texts, flags = lines(page if isinstance(page, str) else "")
+                new = (i, url, host, path, texts, flags, keys_of(texts).tolist())
                 if now is not None:
-                    out.append(finish(now, new))
-                last, now = now, new
+                    out.append(inside(now, new) if before is not None else border(now, False, new))
+                before, now = now, new
             yield frame(out)
         if now is not None:
-            yield frame([finish(now, None)])
+            yield frame([border(now, None if before is None else True, before)])
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["page_id", "url", "text"])
-        return out.assign(page_id=out["page_id"].astype("Int64"), n_chars=[len(t) for t in out["text"]])
+        out = pd.DataFrame(rows, columns=["page_id", "url", "text", "part", "last", "host", "path", "lines", "flags", "inner"])
+        return out.assign(page_id=out["page_id"].astype("Int64"), part=out["part"].astype("Int32"), last=out["last"].astype("boolean"))
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                keys = keys_of(list(r.lines)).tolist()
+                near = [None if p is None else (p["host"], p["path"], np.frombuffer(p["keys"], "<u8").tolist()) for p in (r.before, r.after)]
+                out.append(text_of(list(r.lines), list(r.flags), keys, best_partner(r.host, r.path, keys, near)))
+            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": out})
 
     url = F.coalesce(F.col(url_col), F.lit(""))
     rows = pages.select(
@@ -211,4 +333,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     )
     keys = ["host", "path", "id"]
     ordered = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
-    return ordered.sortWithinPartitions(*keys).mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    done = materialize(ordered.sortWithinPartitions(*keys).mapInPandas(run, OUT), "pages")
+    # at most two rows of each partition: a page alone has a null ``last`` and sees both sides
+    borders = done.where("part is not null").select("*", F.struct("host", "path", line_keys("lines").alias("keys")).alias("own"))
+    order = Window.orderBy("part", F.coalesce("last", F.lit(False)))
+    borders = borders.withColumn("over", F.lag("own").over(order)).withColumn("under", F.lead("own").over(order))
+    borders = borders.select("page_id", "url", "lines", "flags", "host", "path", F.when(F.col("last"), F.col("inner")).otherwise(F.col("over")).alias("before"), F.when(~F.col("last"), F.col("inner")).otherwise(F.col("under")).alias("after"))
+    out = done.where("part is null").select("page_id", "url", "text").unionByName(borders.mapInPandas(finish, "page_id long, url string, text string"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def line_keys(column: str):
+    @F.pandas_udf("binary")
+    def keys(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: keys_of(list(x)).tobytes())
+
+    return keys(column)

@@ -19,14 +19,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (local mode)."""
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset in local mode, as in tests."""
     if given := spark.conf.get("spark.checkpoint.dir", None):
         return given
+    if not (spark.conf.get("spark.master", "") or "").startswith("local") or "local-cluster" in spark.conf.get("spark.master", ""):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_FOLDER:
         _OWN_FOLDER.append(tempfile.mkdtemp(prefix="docveil-"))
     return _OWN_FOLDER[0]
 
 
+HEAVY = 2000
+
+
+def dealt(rows: DataFrame, side: DataFrame, key: str, other: str, counted: DataFrame | None = None, salt: str = "salt") -> tuple[DataFrame, DataFrame]:
+    """rows and side with a salt, to be joined on key and salt: keys of more than HEAVY rows are dealt by ``other``.
+
+    There are at most rows / HEAVY such keys, which are broadcast; side has one row for each key. counted: where to count them, else in rows.
+    """
+    parts = f"{salt}_parts"
+    heavy = F.broadcast((rows if counted is None else counted).groupBy(key).agg(F.ceil(F.count("*") / HEAVY).alias(parts)).where(F.col(parts) > 1))
+    n = F.coalesce(parts, F.lit(1))
+    a = rows.join(heavy, key, "left").withColumn(salt, F.pmod(F.xxhash64(other), n)).drop(parts)
+    b = side.join(heavy, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop(parts)
+    return a, b
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, survives executors."""
     spark = df.sparkSession

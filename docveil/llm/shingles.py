@@ -16,7 +16,7 @@ STEP = np.uint64(0xD1B54A32D192ED03)
 @lru_cache(maxsize=1)
 def word_table() -> np.ndarray:
     """Whether a code point is part of a word: letters, digits and marks."""
-    return np.array([chr(c).isalnum() for c in range(0x30000)])
+    return np.array([chr(c).isalnum() for c in range(0x110000)])
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -28,7 +28,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of lower-case texts, and where each text's words begin."""
     codes, starts = code_points([t.lower() + "\n" for t in texts])
-    word = word_table()[np.minimum(codes, 0x2FFFF)]
+    word = word_table()[codes]
     edge = np.flatnonzero(np.diff(word.astype(np.int8), prepend=np.int8(0)))
     begin, end = edge[0::2], edge[1::2]  # every text ends in a newline, so words end before that
     power = _powers(BASE, len(codes) + 1)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_enough
+from .common import dealt, materialize, small_enough, unused
 
 MIN_SITES = 10
 MIN_CHARS = 16
@@ -30,13 +30,17 @@ def folded(line):
     return F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
 
 
+def row_hash(*columns: str):
+    return F.xxhash64(*[F.col(c) for c in columns])
+
+
 def line_rows(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int) -> DataFrame:
     """uid, doc, site, pos and hash of each line that may be boilerplate."""
     lines = docs.where(F.col(text_col).isNotNull()).select(
-        F.col("__uid"), F.col(id_col).alias("doc"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.xxhash64(text_col).alias("copy"),
+        row_hash(id_col, text_col, site_col).alias("uid"), F.col(id_col).alias("doc"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.xxhash64(text_col).alias("copy"),
         F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"),
     ).withColumn("line", folded(F.col("line")))
-    return lines.where(F.length("line") >= min_chars).select("__uid", "doc", "site", "copy", "pos", F.xxhash64("line").alias("hash"))
+    return lines.where(F.length("line") >= min_chars).select("uid", "doc", "site", "copy", "pos", F.xxhash64("line").alias("hash"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = LG_K) -> DataFrame:
@@ -58,18 +62,22 @@ def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = LG_K) -> DataFrame
 def remove_boilerplate(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS
 ) -> DataFrame:
-    """docs with their text cleaned, and lines_removed."""
-    rows = docs.withColumn("__uid", F.xxhash64(F.col(id_col), F.col(text_col), F.col(site_col)))
-    lines = line_rows(rows, id_col, text_col, site_col, min_chars)
+    """docs with their text cleaned, and lines_removed (with underscores in front if docs has such a column)."""
+    lines = materialize(line_rows(docs, id_col, text_col, site_col, min_chars), "hashes")  # texts are split and hashed once
     found = materialize(boilerplate(lines, min_sites), "boilerplate")
-    side = F.broadcast(found) if small_enough(found, BROADCAST_LINES) else found
-    hit = lines.join(side, "hash").where(~(F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.pos") == F.col("pos"))))
-    gone = hit.groupBy("__uid").agg(F.collect_set("pos").alias("__gone"))
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains(F.col("__gone"), i))
-    out = rows.join(gone, "__uid", "left")
+    if small_enough(found, BROADCAST_LINES):
+        hit = lines.join(F.broadcast(found), "hash")
+    else:
+        left, side = dealt(lines, found, "hash", "uid")
+        hit = left.join(side, ["hash", "salt"])
+    hit = hit.where(~(F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.pos") == F.col("pos"))))
+    uid, gone = unused(docs, "uid"), unused(docs, "gone")
+    places = hit.groupBy(F.col("uid").alias(uid)).agg(F.collect_set("pos").alias(gone))
+    kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains(F.col(gone), i))
+    out = docs.withColumn(uid, row_hash(id_col, text_col, site_col)).join(places, uid, "left")
     return out.select(
-        *[F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.size("__gone"), F.lit(0)).alias("lines_removed"),
+        *[F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+        F.coalesce(F.size(gone), F.lit(0)).alias(unused(docs, "lines_removed")),
     )
 
 

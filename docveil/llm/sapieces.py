@@ -8,13 +8,16 @@ last position; edges are sorted by position.
 The lattice of edges is then relaxed. In a BPE model the best path doesn't give the model's segmentation, as merges are
 greedy by score; so the edges are relaxed in the model's order: of all edges that span exactly two present symbols of a
 word, the one of best score (then the leftmost) becomes a symbol, until none is left. Characters without a piece become
-their bytes' pieces, or unknown.
+their bytes' pieces, or unknown. Words of up to ``LONG_WORD`` characters are relaxed all at once, a merge a round; longer ones
+(text without blanks) each from a heap, in n log n.
 
-Words are encoded once for a batch, and the first ``REMEMBERED`` ones of a worker are remembered. Null and empty texts have no ids.
+Words are encoded once for a batch, and the first ``REMEMBERED`` ones of a worker are remembered. Null and empty texts have no ids. Repeated rows get
+the same ids; a null doc_id stays null; no rows give no rows; other columns aren't read.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +31,7 @@ from .common import crc_of_ids, in_chunks
 BLANK = "▁"
 REMEMBERED = 800_000
 CHUNK = 1_500_000
+LONG_WORD = 64
 
 
 def default_model() -> str:
@@ -125,15 +129,56 @@ def edges(codes: np.ndarray, vocab: Pieces) -> tuple[np.ndarray, np.ndarray, np.
     return start, start + size[piece], piece
 
 
+def merge_long(first: int, last: int, symbols: list[int], key: np.ndarray, piece: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same relaxation of one long word, from a heap of the edges over two neighbouring symbols."""
+    a, b = np.searchsorted(key, (first * 64, last * 64))
+    known = dict(zip(key[a:b].tolist(), piece[a:b].tolist(), strict=True))
+    n = last - first
+    stop, before, own = list(range(1, n + 1)), list(range(-1, n - 1)), symbols
+    alive = [True] * n
+    heap: list[tuple[int, int, int, int]] = []
+
+    def offer(left: int) -> None:
+        """The edge over the symbol at ``left`` and the next one, if there is a piece."""
+        right = stop[left]
+        if right < n and (p := known.get((first + left) * 64 + stop[right] - left)) is not None:
+            heapq.heappush(heap, (int(rank[p]), left, stop[right], p))
+
+    for left in range(n - 1):
+        offer(left)
+    while heap:
+        _, left, end, p = heapq.heappop(heap)
+        right = stop[left] if alive[left] else n
+        if right >= n or stop[right] != end:
+            continue  # one of its symbols has become another since
+        alive[right] = False
+        stop[left], own[left] = end, p
+        if end < n:
+            before[end] = left
+        if before[left] >= 0:
+            offer(before[left])
+        offer(left)
+    at = [k for k in range(n) if alive[k]]
+    return np.array(at, dtype=np.int64) + first, np.array([own[k] for k in at], dtype=np.int64)
+
+
 def merge(n: int, word: np.ndarray, start: np.ndarray, end: np.ndarray, piece: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Greedy relaxation of all words at once: the symbols' starts and piece numbers (-1: a character without a piece)."""
     rank = np.argsort(np.argsort(-scores, kind="stable"), kind="stable")
     key = start * 64 + (end - start)
-    begin = np.flatnonzero(word >= 0)  # separators belong to no word
-    final_start, final_piece = [], []
     single = np.full(n, -1, dtype=np.int64)
     one = (end - start) == 1
     single[start[one]] = piece[one]
+    begin = np.flatnonzero(word >= 0)  # separators belong to no word
+    size = np.bincount(word[begin], minlength=1)
+    final_start, final_piece = [], []
+    for long in np.flatnonzero(size > LONG_WORD):  # as many rounds as merges would be too many
+        a = int(np.searchsorted(word[begin], long))
+        first, last = int(begin[a]), int(begin[a]) + int(size[long])
+        s, p = merge_long(first, last, single[first:last].tolist(), key, piece, rank)
+        final_start.append(s)
+        final_piece.append(p)
+    begin = begin[size[word[begin]] <= LONG_WORD]
     own = single[begin]
     w = word[begin]
     stop = begin + 1

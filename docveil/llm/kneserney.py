@@ -12,7 +12,8 @@ as if ``PRIOR_CHARS`` median characters were added (short texts vary more). It i
 towards those of all languages as if these had ``PRIOR_DOCS`` documents; one without trusted documents uses the latter.
 
 Null and empty texts have null perplexity and are rejected. A null language is a language of its own. Without any
-trusted document nothing can be rejected but empty texts. Repeated rows get the same result. Repeated label rows count once: a
+trusted document nothing can be rejected but empty texts. Repeated rows get the same result, as if each stood alone. Other columns
+aren't read (``keep_good`` passes them through as they are); no rows give no rows. Repeated label rows count once: a
 document is trusted if any of its labels is 1.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordlm
-from .common import code_points, in_chunks, materialize, small_enough, sums_by_row
+from .common import code_points, dealt, in_chunks, materialize, small_enough, sums_by_row, unused
 
 K = 64
 SHARDS = 8
@@ -38,6 +39,7 @@ PRIOR_CHARS = 300
 SPREAD = 3.0
 PRIOR_DOCS = 10
 BROADCAST_IDS = 500_000
+BROADCAST_LANGS = 10_000
 
 #: Symbols 3 to 28 are a to z; the rest as listed.
 BOUNDARY, BLANK, NEWLINE, UPPER, DIGIT, LOWER, LETTER, OTHER = 0, 1, 2, 29, 30, 31, 32, 63
@@ -169,14 +171,16 @@ def scores(docs: DataFrame, log_p: np.ndarray) -> DataFrame:
 
     def look_up(rows: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
-            return pd.DataFrame({"uid": [], "nll": [], "chars": []}).astype({"uid": "int64", "nll": "float64", "chars": "int64"})
+            return pd.DataFrame({"uid": [], "shard": [], "nll": [], "chars": []}).astype({"uid": "int64", "shard": "int32", "nll": "float64", "chars": "int64"})
         p = np.frombuffer(side["p"].iloc[0], dtype="<f4")
         n = np.frombuffer(b"".join(rows["n"]), dtype=np.uint8).astype(np.float64)
         ids = np.frombuffer(b"".join(rows["ids"]), dtype="<u2")
         at = np.concatenate([[0], np.cumsum([len(x) for x in rows["n"]])])
-        return pd.DataFrame({"uid": rows["uid"].to_numpy(), "nll": -sums_by_row(p[ids] * n, at), "chars": sums_by_row(n, at).astype(np.int64)})
+        return pd.DataFrame({"uid": rows["uid"].to_numpy(), "shard": rows["shard"].to_numpy(), "nll": -sums_by_row(p[ids] * n, at), "chars": sums_by_row(n, at).astype(np.int64)})
 
-    parts = shard_rows(docs, salts).groupBy("shard", "salt").cogroup(slices.groupBy("shard", "salt")).applyInPandas(look_up, "uid long, nll double, chars long")
+    parts = shard_rows(docs, salts).groupBy("shard", "salt").cogroup(slices.groupBy("shard", "salt")).applyInPandas(look_up, "uid long, shard int, nll double, chars long")
+    # repeated rows have one uid and the same parts, which count once
+    parts = parts.groupBy("uid", "shard").agg(F.max("nll").alias("nll"), F.max("chars").alias("chars"))
     return parts.groupBy("uid").agg(F.sum("nll").alias("nll"), F.sum("chars").alias("chars"))
 
 
@@ -223,15 +227,24 @@ def by_language(rows: DataFrame, column: str, at: list[float]) -> DataFrame:
 
 
 def with_language(rows: DataFrame, quantiles: DataFrame) -> DataFrame:
-    """rows with q: their language's quantiles, drawn towards those of all languages as by PRIOR_DOCS more documents."""
-    every = quantiles.where("lang is null").select(F.col("q").alias("q_all"))
-    own = quantiles.where("lang is not null").select("lang", F.col("q").alias("q_own"), F.col("n").alias("n_own"))
-    out = rows.join(own, "lang", "left").join(F.broadcast(every))  # one row
-    drawn = F.zip_with("q_own", "q_all", lambda x, y: (x * F.col("n_own") + y * PRIOR_DOCS) / (F.col("n_own") + PRIOR_DOCS))
-    return out.withColumn("q", F.coalesce(drawn, "q_all")).drop("q_own", "q_all", "n_own")
+    """rows with q: their language's quantiles, drawn towards those of all languages as by PRIOR_DOCS more documents.
+
+    A third of all rows may have one language, so the few rows of quantiles are broadcast; if there are many, large languages are dealt.
+    """
+    quantiles = materialize(quantiles, "quantiles")
+    every = quantiles.where("lang is null").first()["q"]  # one row; null without trusted documents
+    q_all = F.lit(None).cast("array<double>") if every is None else F.array(*[F.lit(float(x)) for x in every])
+    own = quantiles.where("lang is not null").select("lang", F.zip_with("q", q_all, lambda x, y: (x * F.col("n") + y * PRIOR_DOCS) / (F.col("n") + PRIOR_DOCS)).alias("q"))
+    if small_enough(own, BROADCAST_LANGS):
+        out = rows.join(F.broadcast(own), "lang", "left")
+    else:
+        left, side = dealt(rows, own, "lang", "uid")
+        out = left.join(side, ["lang", "salt"], "left").drop("salt")
+    return out.withColumn("q", F.coalesce("q", q_all))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that the classifier keeps, with their own columns."""
-    kept = classify(docs, labels, id_col, text_col, lang_col, words=True).where("keep").select(F.col("uid").alias("__kept")).distinct()
-    return docs.join(kept, F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("__kept"), "left_semi")
+    uid = unused(docs, "uid")
+    kept = classify(docs, labels, id_col, text_col, lang_col, words=True).where("keep").select(F.col("uid").alias(uid)).distinct()
+    return docs.withColumn(uid, F.xxhash64(F.col(id_col), F.col(text_col))).join(kept, uid, "left_semi").drop(uid)

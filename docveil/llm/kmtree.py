@@ -7,7 +7,7 @@ least one at which ``TARGET`` of the true neighbours of ``CALIBRATION`` vectors,
 whole table, lie in visited leaves. Neighbouring leaves make up shards; a shard and the queries that visit any of its
 leaves are joined in blocks of bounded size, so a leaf full of copies is spread over tasks. Distances are exact, in double precision, on the original vectors.
 
-Vectors that are null, empty, zero, hold null or non-finite components, or have another length than most, take no part;
+Vectors that are null, empty, zero, hold null or non-finite components, or have another length than most of the table's, take no part;
 neither do null ids. Rows that share an id are one candidate (their nearest vector) and one query (their smallest
 vector). Ties go to the smaller id. Fewer candidates than asked for are all returned.
 """
@@ -109,12 +109,14 @@ def grow(x: np.ndarray, most: int, branches: int = BRANCHES, seed: int = 7) -> T
     return tree
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id, v (double) of the vectors that take part."""
+def usable(vectors: DataFrame, id_col: str, vector_col: str, length: int | None = None) -> DataFrame:
+    """id, v (double) of the vectors that take part: those of this length, or of the most frequent one."""
     v = F.col("v")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where(F.col("id").isNotNull() & v.isNotNull()).where(fine & F.exists(v, lambda x: x != 0))
+    if length is not None:
+        return rows.where(F.size("v") == length)
     most = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()
     return rows.where(F.size("v") == (most[0]["n"] if most else 0))
 
@@ -211,7 +213,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
                 out += [(i, v, s, leaves) for s, leaves in wanted.items()]
             yield pd.DataFrame(out, columns=["qid", "q", "shard", "leaves"]).astype({"qid": "int64", "shard": "int32"})
 
-    asked = usable(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
+    asked = usable(queries, id_col, vector_col, len(chosen["v"].iloc[0]) if len(chosen) else 0).groupBy("id").agg(F.min("v").alias("v"))
     bins = materialize(asked.mapInPandas(to_bins, "qid long, q array<double>, shard int, leaves array<int>"), "bins")
     asks = {r["shard"]: r["n"] for r in bins.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row per shard
     rows_of: dict[int, int] = {}

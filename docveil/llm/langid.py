@@ -3,12 +3,12 @@
 Features are hashed character 1- to 3-grams of the lower-case letters of the whole text, weighted by term frequency and
 inverse document frequency. The weights are fitted by follow-the-regularised-leader (proximal, per coordinate) with an
 elastic-net penalty on a bounded sample: at most about ``MAX_TRAIN`` labelled documents, the same number for each
-language, chosen by a hash of the id. A fifth of the sample is kept from the fit and sets the temperature that
+language (at least one), chosen by a hash of the id. A fifth of the sample is kept from the fit and sets the temperature that
 calibrates the probabilities. Prediction reads text only and is one pass without a shuffle; the model (2 ** 16 rows by
 number of languages) is a bounded table.
 
 A null text, or one without letters, gives ``und`` with score 1.0. Repeated rows get the same result. Ties go to the language that sorts
-first. With no labelled document every text is ``und`` with score 0.
+first. With no labelled document every text with letters is ``und`` with score 0. Other columns aren't read; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -22,25 +22,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, held_out, in_chunks, mix64
+from .common import code_points, held_out, in_chunks, materialize, mix64, small_enough
 
 BITS = 16
 MAX_TRAIN = 4000
 SCALE = 30.0
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-3, 1e-4, 3
 UNKNOWN = "und"
+BROADCAST_LANGS = 100_000
 SEEDS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
 
 @lru_cache(maxsize=1)
 def letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x30000)])
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of all texts, and where each text's begin (no letters: none)."""
     codes, starts = code_points([" " + t.lower() + " " for t in texts])
-    letter = letters()[np.minimum(codes, 0x2FFFF)]
+    letter = letters()[codes]
     codes = np.where(letter, codes, np.uint32(32))
     own = letter.copy()
     own[1:] |= letter[:-1]  # of a run of other characters only the first stays, as a blank
@@ -112,12 +113,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], held: list[tuple[np.ndar
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int) -> DataFrame:
     """Training documents: id, lang, text; about most / languages for each language, by hash of id."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(500).collect()}
-    if not counts:
-        return rows.where("false")
-    quota = max(1, most // len(counts))
-    rate = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, quota / n)))])
-    return rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < rate[F.col("lang")] * 1_000_000)
+    counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    quota = max(1, most // max(1, counts.count()))
+    share = counts.select("lang", F.least(F.lit(1.0), F.lit(quota) / F.col("n")).alias("share"))
+    few = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
+    return rows.join(F.broadcast(share) if small_enough(share, BROADCAST_LANGS) else share, "lang").where(few < F.col("share") * 1_000_000).drop("share")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MAX_TRAIN) -> Model:

@@ -7,13 +7,16 @@ Each group is packed by best fit, largest first, and then improved by local sear
 documents away by moving one, exchanging one for one, or two for one, always so that the sum of squared fills grows,
 until it is empty. What is still in underfull sequences of all groups is pooled into fewer, new groups and packed again.
 
-Null and empty texts give one piece that holds only the separator. Repeated rows are separate documents.
+The search gives up on a group after ``PATIENCE`` of its emptiest sequences can't be emptied; all documents stay packed.
+
+Null and empty texts give one piece that holds only the separator. Repeated rows are separate documents. Names of special tokens
+in a text become those tokens, as the vocabulary's library has it. A null doc_id stays null; no rows give no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -25,6 +28,7 @@ from .common import crc_of_ids, materialize
 CAPACITY = 2048
 SEPARATOR = 0
 GROUP_ROWS = 6000
+PATIENCE = 8
 
 
 def default_ranks() -> str:
@@ -37,13 +41,16 @@ def default_ranks() -> str:
 def encoder(ranks_path: str | None):
     """byte_bpe_50k as tiktoken ranks: the vocabulary and merges of byte_bpe_50k.json, at a quarter of the time."""
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path or default_ranks(), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}  # found in texts too, as that library does
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -56,7 +63,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(ranks_path).encode_ordinary
+        encode = partial(encoder(ranks_path).encode, allowed_special="all")
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch["d"].array, batch["t"].array, strict=True):
@@ -141,7 +148,7 @@ def swap_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[
         full += [b for b in rest if fill[b] == capacity]
         if bins[giver]:
             stuck.append(giver)
-            if len(stuck) >= 8:  # the emptiest ones are stuck, so fuller ones are too
+            if len(stuck) >= PATIENCE:  # the emptiest ones are stuck, so fuller ones are too
                 alive = [b for b in rest if fill[b] < capacity]
                 break
         alive = sorted((b for b in rest if fill[b] < capacity), key=fill.__getitem__)

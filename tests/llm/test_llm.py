@@ -260,13 +260,54 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.predict(docs(spark, [(1, "You idiot", "en", "a")]), base).first()["predicted"] == 1
 
 
-def test_correlated_voters_share_a_vote():
+def brute_labels(votes, balance):
+    """The label model with plain loops: posteriors, accuracies, shares."""
+    n, k = len(votes), len(votes[0])
+    accuracy, share = [toxicity.ACCURACY] * k, [1.0] * k
+    s = lambda z: 1 / (1 + math.exp(-min(30, max(-30, z))))
+    for round_ in range(toxicity.ROUNDS):
+        evidence = [sum(share[j] * (math.log(accuracy[j] / (1 - accuracy[j])) - math.log(balance / (1 - balance))) for j in range(k) if row[j]) for row in votes]
+        low, high = -60.0, 60.0
+        for _ in range(60):
+            m = (low + high) / 2
+            low, high = (low, m) if sum(s(e + m) for e in evidence) / n > balance else (m, high)
+        q = [s(e + (low + high) / 2) for e in evidence]
+        for j in range(k):
+            hit = [q[i] for i in range(n) if votes[i][j]]
+            accuracy[j] = min(0.99, max(balance + 1e-3, (sum(hit) + toxicity.STRENGTH * toxicity.ACCURACY) / (len(hit) + toxicity.STRENGTH)))
+        if round_ % 5 == 4:
+            rate = [[sum(w[i] * votes[i][j] for i in range(n)) / max(sum(w), 1e-9) for j in range(k)] for w in (q, [1 - x for x in q])]
+            left = [[votes[i][j] - q[i] * rate[0][j] - (1 - q[i]) * rate[1][j] for j in range(k)] for i in range(n)]
+            sd = [math.sqrt(sum(r[j] ** 2 for r in left) / n) + 1e-9 for j in range(k)]
+            c = [[1.0 if a == b else sum(r[a] * r[b] for r in left) / n / sd[a] / sd[b] for b in range(k)] for a in range(k)]
+            share = [1 / sum(x for x in row if x > toxicity.SAME_VOTE) for row in c]
+    return q, accuracy, share
+
+
+def test_label_model_against_brute_force():
     rng = np.random.default_rng(3)
-    y = rng.random(2000) < 0.3
-    one, other = np.where(rng.random(2000) < 0.8, y, ~y), np.where(rng.random(2000) < 0.8, y, ~y)
-    votes = np.column_stack([one, one, one, other])
-    _, rate, share = toxicity.label_model(votes, y.astype(float), 0.3)
-    assert share[0] < 0.6 and share[3] > 0.8 and abs(rate[1, 3] - 0.8) < 0.1 and abs(rate[0, 3] - 0.2) < 0.1
+    y = rng.random(400) < 0.3
+    one, other = (y & (rng.random(400) < 0.8)) | (rng.random(400) < 0.02), (y & (rng.random(400) < 0.6)) | (rng.random(400) < 0.05)
+    votes = np.column_stack([one, one, one, other, rng.random(400) < 0.1])
+    q, accuracy, share = toxicity.label_model(votes, 0.3)
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip((q, accuracy, share), brute_labels(votes.tolist(), 0.3), strict=True))
+    assert share[0] < 0.5 and share[3] > 0.8 and accuracy[4] < accuracy[3] - 0.1 and abs(q.mean() - 0.3) < 1e-3
+
+
+def test_posteriors_not_labels_train_the_classifier():
+    """Ablation: a label that no voter supports is overruled, and training on labels gives another classifier."""
+    rng = random.Random(37)
+    toxic = [" ".join([*rng.choices(WORDS, k=20), *rng.sample(["idiot", "moron", "trash"], k=2)]) for _ in range(120)]
+    clean = [prose(rng, 22) for _ in range(600)]
+    rows = [(t, 1) for t in toxic[:110]] + [(t, 0) for t in toxic[110:]] + [(t, 0) for t in clean[:590]] + [(t, 1) for t in clean[590:]]
+    model = toxicity.train_on(rows)
+    q = model.seen["posterior"]
+    assert (q[:120] > 0.5).all() and (q[120:] < 0.5).all()  # the ten false labels of each kind are seen through
+    counts, words = toxicity.find([toxicity.folded(t) for t, _ in rows], toxicity.automaton(model.voters), len(model.voters))
+    x = toxicity.inputs(counts, words)
+    by_labels = toxicity.logistic(x, np.array([float(k) for _, k in rows]), np.array([2.0] * (x.shape[1] - 1) + [0.0]))
+    sure = lambda w: np.abs(toxicity.sigmoid(x[:120] @ w) - 1).mean()
+    assert np.abs(by_labels - model.weights).max() > 0.1 and sure(model.weights) < sure(by_labels)
 
 
 def test_kneser_ney_is_a_distribution():
@@ -310,6 +351,49 @@ def test_pages(spark):
     assert got[2]["text"] == got[3]["text"] == "" and got[2]["n_chars"] == 0
     assert [got[10 + k]["text"] for k in range(3)] == [f"Story {k}\nMore of {k}" for k in range(3)]
     assert pagediff.shared(list("abcde"), list("xbdye")) == {1, 3, 4}
+    assert pagediff.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def longest_common(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_shared_lines_against_brute_force():
+    rng = random.Random(41)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        gone = sorted(pagediff.shared(a, b))
+        rest = iter(b)
+        assert len(gone) == longest_common(a, b) and all(a[i] in rest for i in gone)
+
+
+def test_differencing_decides_beside_articles(spark):
+    """Unmarked template lines go and other lines stay, where a page has an article too; only links go inside of it."""
+    body = "<div>The Daily Site</div><div>{k} readers now</div><article><h1>T{k}</h1><p>Shared paragraph</p><p><a href=x>Print</a> <a href=y>Share</a></p><p>Own {k}</p><p class=related-work>Related work {k}</p></article><div>Imprint and contact</div><div class='cookie-banner'>We use cookies {k}</div>"
+    rows = [(k, f"https://a.example/n/{k}", body.format(k=k), "x") for k in range(40)]
+    want = {k: f"{k} readers now\nT{k}\nShared paragraph\nOwn {k}\nRelated work {k}" for k in range(40)}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string").withColumn("part", F.lit(1))
+    for n in (1, 7, 60):  # borders between partitions don't matter
+        assert {r["page_id"]: r["text"] for r in pagediff.extract(pages, partitions=n).collect()} == want
+    alone = pagediff.extract(pages.where("page_id = 3")).first()["text"]
+    assert alone.startswith("The Daily Site\n3 readers") and alone.endswith("Imprint and contact")  # no partner: nothing is shared
+    copies = spark.createDataFrame([(k, "https://a.example/n/1", rows[1][2]) for k in range(3)] + [rows[2][:3]], "page_id long, url string, html string")
+    assert {r["text"] for r in pagediff.extract(copies, partitions=1).where("page_id = 2 and url like '%/2'").collect()} == {want[2]}
+
+
+def test_scanning_is_linear():
+    import time
+
+    hostile = ["<a " * 200_000, "<div>" * 100_000 + "</x>" * 100_000, '<a ">"' * 100_000, "<!--" * 100_000, "<li>" * 200_000, "<head>" * 100_000, "<p>x" * 200_000, "</div>" * 200_000, "<" * 200_000, "<b class='" * 100_000, "<div>" * 50_000 + "</div>" * 100_000, "&amp" * 200_000]
+    for page in hostile:
+        began = time.time()
+        pagediff.lines(page)
+        assert time.time() - began < 5, page[:20]
+    assert pagediff.lines("a < b <p title='x > y'>c</p><p>d")[0] == ["a < b", "c", "d"]
 
 
 # the pipeline

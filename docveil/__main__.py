@@ -18,15 +18,26 @@ from docveil.sources.facts import read_files, refused
 EXTRA = {"custom_data": "office-customxml", "neutralize_links": "office-external-links", "accept_changes": "office-accept-changes"}
 
 
+FAIL_ON = [level for level in dims.LEVEL_RANK if level != "clear"]
+
+
+class Parser(argparse.ArgumentParser):
+    """Exits with 1 on bad arguments: 2 says that a file reaches the level of --fail-on."""
+
+    def error(self, message: str):
+        self.print_usage(sys.stderr)
+        self.exit(1, f"{self.prog}: {message}\n")
+
+
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="docveil")
+    p = Parser(prog="docveil")
     p.add_argument("-v", "--version", action="version", version=__version__)
-    sub = p.add_subparsers(dest="command", required=True)
+    sub = p.add_subparsers(dest="command")
     s = sub.add_parser("scan")
     s.add_argument("paths", nargs="+")
     s.add_argument("--json", action="store_true")
     s.add_argument("--markdown", action="store_true")
-    s.add_argument("--fail-on", choices=list(dims.LEVEL_RANK))
+    s.add_argument("--fail-on", metavar="LEVEL")
     c = sub.add_parser("clean")
     c.add_argument("path")
     c.add_argument("--out")
@@ -37,6 +48,12 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
+    if args.command is None:
+        parser().print_help()
+        return 0
+    if getattr(args, "fail_on", None) is not None and args.fail_on not in FAIL_ON:
+        print(f"--fail-on must be one of: {', '.join(FAIL_ON)}.", file=sys.stderr)
+        return 1
     spark = spark or SparkSession.builder.appName("docveil").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     paths = args.paths if args.command == "scan" else [args.path]
     if bad := refused(spark, *paths).head():

@@ -39,7 +39,7 @@ def scan(files: DataFrame, facts: DataFrame | None = None) -> Scan:
     return Scan(files, facts, types, found, fo.summary(found, types))
 
 
-def reports(s: Scan) -> DataFrame:
+def reports(s: Scan, generated_at: Column | None = None) -> DataFrame:
     """One nested row for each file: file, type, findings in order, summary, metadata, fingerprint, preview, capabilities."""
     fields = ["finding_id", "category", "severity", "title", "description", "evidence", "path", "remediation", "cleanable", "clean_action", "tags"]
     listed = s.findings.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", *fields))), lambda f: F.struct(*[f[c].alias(c) for c in fields])).alias("findings"))
@@ -52,7 +52,7 @@ def reports(s: Scan) -> DataFrame:
     rows = s.types.join(s.summary, "file_id").join(listed, "file_id", "left").join(actions, "file_id", "left").join(extra, "file_id", "left")
     none = lambda c, like: F.coalesce(F.col(c), F.array().cast(dict(like.dtypes)[c]))
     return rows.select(
-        "file_id", F.lit(SCHEMA_URI).alias("schema"), F.lit(__version__).alias("version"), F.current_timestamp().alias("generated_at"),
+        "file_id", F.lit(SCHEMA_URI).alias("schema"), F.lit(__version__).alias("version"), (F.current_timestamp() if generated_at is None else generated_at).alias("generated_at"),
         F.struct("name", F.col("length").alias("size"), "mime", "claimed_mime", "sha256").alias("file"),
         F.struct("kind", F.when(F.col("kind") == "ooxml", F.col("type_name")).alias("office_type"), "label", "extension", "mismatch").alias("type"),
         none("findings", listed).alias("findings"),

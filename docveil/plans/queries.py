@@ -454,7 +454,7 @@ def forged_sizes(spark, sf_dir):
     return carried(spark, sf_dir, "zip", wrap).mapInPandas(run, "file_id string, readable boolean")
 
 
-@query()
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def arrivals_stream(spark, sf_dir):
     """Events counted in windows by a stream with a watermark."""
     from docveil.streaming import windowed_counts

@@ -6,7 +6,7 @@ import struct
 import zlib
 from xml.sax.saxutils import escape
 
-from .zipfiles import build
+from .zipfiles import CENTRAL, build
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -22,11 +22,12 @@ def core(author: str = "", editor: str = "") -> bytes:
     return f"<cp:coreProperties>{''.join(cells)}</cp:coreProperties>".encode()
 
 
-def docx(body: str, author: str = "", inserted: int = 0, hidden: int = 0, link: str = "", comments: int = 0, thumbnail: bool = False, zero_width: int = 0, custom: bool = False, signed: bool = False, extra: tuple = ()) -> bytes:
+def docx(body: str, author: str = "", inserted: int = 0, hidden: int = 0, link: str = "", comments: int = 0, thumbnail: bool = False, zero_width: int = 0, custom: bool = False, signed: bool = False, extra: tuple = (), core_xml: bytes | None = None, document: bytes | None = None, types: bytes = b"<Types><Override PartName=\"/word/document.xml\" ContentType=\"main\"/></Types>") -> bytes:
     runs = f"<w:p><w:r><w:t>{escape(body)}{chr(0x200B) * zero_width}</w:t></w:r></w:p>"
     runs += "".join(f'<w:p><w:ins w:id="{k}" w:author="x"><w:r><w:t>new{k}</w:t></w:r></w:ins></w:p>' for k in range(inserted))
     runs += "<w:p><w:r><w:rPr><w:vanish/></w:rPr><w:t>h</w:t></w:r></w:p>" * hidden
-    parts = [("[Content_Types].xml", b"<Types><Override PartName=\"/word/document.xml\" ContentType=\"main\"/></Types>"), ("_rels/.rels", rels(("officeDocument", "word/document.xml", False))), ("docProps/core.xml", core(author)), ("word/document.xml", f"<w:document {W}><w:body>{runs}</w:body></w:document>".encode())]
+    body_xml = document or f"<w:document {W}><w:body>{runs}</w:body></w:document>".encode()
+    parts = [("[Content_Types].xml", types), ("_rels/.rels", rels(("officeDocument", "word/document.xml", False))), ("docProps/core.xml", core_xml or core(author)), ("word/document.xml", body_xml)]
     if link:
         parts.append(("word/_rels/document.xml.rels", rels(("hyperlink", link, True))))
     if comments:
@@ -87,16 +88,16 @@ def tiff(fields: dict[int, str], north: tuple | None = None, east: tuple | None
     return b"II" + struct.pack("<HI", 42, 8) + struct.pack("<H", len(entries)) + b"".join(entries) + struct.pack("<I", 0) + gps + blob
 
 
-def jpeg(comment: str = "", exif: bytes = b"", iptc: str = "", provenance: bool = False) -> bytes:
+def jpeg(comment: str = "", exif: bytes = b"", iptc: str = "", provenance: bool = False, xmp: str = "") -> bytes:
     seg = lambda m, d: b"\xff" + bytes([m]) + struct.pack(">H", len(d) + 2) + d
     out = b"\xff\xd8" + seg(0xE0, b"JFIF\0")
-    out += (seg(0xE1, b"Exif\0\0" + exif) if exif else b"") + (seg(0xED, iptc.encode()) if iptc else b"") + (seg(0xEB, b"JP\0\0c2pa") if provenance else b"") + (seg(0xFE, comment.encode()) if comment else b"")
+    out += (seg(0xE1, b"Exif\0\0" + exif) if exif else b"") + (seg(0xE1, b"http://ns.adobe.com/xap/1.0/\0" + xmp.encode()) if xmp else b"") + (seg(0xED, iptc.encode()) if iptc else b"") + (seg(0xEB, b"JP\0\0c2pa") if provenance else b"") + (seg(0xFE, comment.encode()) if comment else b"")
     return out + seg(0xDA, b"\1\1\0\0\x3f\0") + b"\x12\x34" + b"\xff\xd9"
 
 
-def webp(exif: bytes = b"", xmp: str = "") -> bytes:
+def webp(exif: bytes = b"", xmp: str = "", provenance: bool = False) -> bytes:
     part = lambda k, d: k + struct.pack("<I", len(d)) + d + b"\0" * (len(d) % 2)
-    body = part(b"VP8X", bytes([0x0C]) + b"\0" * 9) + (part(b"EXIF", exif) if exif else b"") + (part(b"XMP ", xmp.encode()) if xmp else b"") + part(b"VP8L", b"\x2f\0\0\0\0")
+    body = part(b"VP8X", bytes([0x0C]) + b"\0" * 9) + (part(b"EXIF", exif) if exif else b"") + (part(b"XMP ", xmp.encode()) if xmp else b"") + (part(b"C2PA", b"jumb") if provenance else b"") + part(b"VP8L", b"\x2f\0\0\0\0")
     return b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WEBP" + body
 
 
@@ -111,3 +112,24 @@ def pdf(author: str = "", title: str = "", links: tuple = (), script: bool = Fal
         data = zlib.compress(packed.encode())
         body += b"9 0 obj << /Filter /FlateDecode /Length " + str(len(data)).encode() + b" >> stream\n" + data + b"\nendstream endobj\n"
     return body + b"startxref\n0\n%%EOF\n" * saves
+
+
+def directory_entry(package: bytes, name: str) -> int:
+    """Where the central directory's record of a part begins."""
+    return package.index(name.encode(), package.index(CENTRAL)) - 46
+
+
+def forged(package: bytes, name: str, size: int, packed: int | None = None) -> bytes:
+    """A package that lies about the size of a part (and its packed size)."""
+    out, at = bytearray(package), directory_entry(package, name)
+    out[at + 24 : at + 28] = struct.pack("<I", size)
+    if packed is not None:
+        out[at + 20 : at + 24] = struct.pack("<I", packed)
+    return bytes(out)
+
+
+def encrypted(package: bytes, name: str) -> bytes:
+    """A package in which a part is marked as encrypted."""
+    out, at = bytearray(package), directory_entry(package, name)
+    out[at + 8] |= 1
+    return bytes(out)

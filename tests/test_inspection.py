@@ -12,6 +12,7 @@ from docveil.operators import clean, dims
 from docveil.plans import cleaning, inspect
 from docveil.sources import carriers as make
 from docveil.sources import images, pdfs
+from docveil.sources.xmltext import Do, rewrite, without_hollow
 from docveil.sources.zipfiles import Archive, ZipError, build, dos_time
 
 SF = "/root/testdata/sf0.001"
@@ -112,13 +113,13 @@ def test_scan_and_clean(spark):
     assert "CRITICAL (36/100)" in report and "### CRITICAL · Embedded JavaScript" in report
 
 
-ORACLES = ["external_links", "extract_title", "evidence_truncate", "output_filename", "format_bytes", "findings_ranked", "risk_summary", "facet_buttons", "top_categories", "threshold_gate", "actions_offered", "png_scan", "hostile_zip"]
+ORACLES = ["external_links", "extract_title", "evidence_truncate", "output_filename", "format_bytes", "findings_ranked", "risk_summary", "facet_buttons", "top_categories", "threshold_gate", "actions_offered", "png_scan", "hostile_zip", "docx_properties", "docx_active", "zip_limits", "dispatch_scan", "pdf_features", "jpeg_metadata", "png_parts_scan", "clean_everything", "clean_markup", "report_markdown_text", "arrivals_stream"]
 
 
 @pytest.mark.parametrize("name", ORACLES)
 def test_against_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "events"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got = entry.queries()[name](spark, SF)
     cols = sorted(got.columns)
@@ -126,9 +127,32 @@ def test_against_sql(spark, name):
     assert sorted(map(repr, (tuple(r[x] for x in cols) for r in got.collect()))) == sorted(map(repr, rel.fetchall()))
 
 
+def test_xml_is_rewritten_by_elements():
+    acts = {"d": Do.DROP, "u": Do.UNWRAP}
+    one = lambda xml: rewrite(xml, lambda t: acts.get(t.name, Do.KEEP))
+    assert one("<a>1<d>2<d>3</d>4<u>5</u></d>6<u k='>'>7<d/><u/>8</u></a>") == "<a>1678</a>"
+    assert one("<a><!-- <d> --><![CDATA[<d>]]><?d?></b></a><d>rest") == "<a><!-- <d> --><![CDATA[<d>]]><?d?></b></a>"
+    assert without_hollow("<r><p><q/></p> </r><r/><r><t/></r><r>x</r><r><r></r></r>", "r", "p") == "<r/><r><t/></r><r>x</r><r></r>"
+    tag = []
+    assert rewrite("<R Id='1' Target='x' />", lambda t: (tag.append(t.get("target")), t.write(Target="y", TargetMode="E"), Do.KEEP)[-1]) == "<R Id='1' Target=\"y\" TargetMode=\"E\" />" and tag == ["x"]
+
+
+def test_copies_are_written_by_tasks(spark, tmp_path):
+    copies = cleaning.clean(inspect.scan(frame(spark, ("a.docx", make.docx("Hello", "Ann")), ("b.png", make.png((("Author", "x"),))), ("c.pdf", make.pdf("x")))))
+    rows = {r["file_id"]: r for r in cleaning.write_copies(copies, str(tmp_path)).collect()}
+    assert rows["c.pdf"]["path"] is None and rows["a.docx"]["path"].endswith("/a.safe.docx")
+    assert all(len(open(r["path"], "rb").read()) == r["length"] for r in rows.values() if r["path"])
+    assert sum(p.is_file() for p in tmp_path.rglob("*") if not p.name.endswith(".crc")) == 2
+
+
 def test_command_line(spark, tmp_path, capsys):
     from docveil.__main__ import main
 
+    assert main(["scan", "x", "--fail-on", "clear"], spark) == 1 and main(["scan", "x", "--fail-on", "grave"], spark) == 1 and main([], spark) == 0
+    with pytest.raises(SystemExit) as e:
+        main(["scan", "--unknown"], spark)
+    assert e.value.code == 1
+
     f = tmp_path / "a.docx"
     f.write_bytes(make.docx("Hello", "Ann", comments=1))
     assert main(["scan", str(f), "--fail-on", "low"], spark) == 2 and "1 file(s), 2 finding(s)" in capsys.readouterr().out

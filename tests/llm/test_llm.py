@@ -44,7 +44,6 @@ def test_pieces_and_sequences(spark, odd, empty):
     import public_tokenizers
 
     t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = packing.pack_documents(odd).collect()
     for doc in odd.where("doc_id is not null").dropDuplicates().collect():
         ids = [*t.encode(doc["text"] or "", add_special_tokens=False).ids, 0]

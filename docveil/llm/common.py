@@ -45,11 +45,11 @@ def dealt(rows: DataFrame, side: DataFrame, key: str, other: str, counted: DataF
     return a, b
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, survives executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -259,16 +259,12 @@ def keys_of(texts: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(texts, dtype=object), categorize=False).astype(np.uint64) if texts else np.zeros(0, np.uint64)
 
 
-def text_of(texts: list[str], flags: list[int], keys: list[int], partner: list[int] | None) -> str:
+def text_of(texts: list[str], flags: bytes, keys: list[int], partner: list[int] | None) -> str:
+    """texts: of the unmarked lines; flags and keys: of all lines."""
     gone = shared(keys, partner) if partner else set()
-
-    def stays(i: int) -> bool:
-        return not flags[i] & MARKED and (i not in gone or flags[i] & (INSIDE | LINKS) == INSIDE)
-
-    kept = [t for i, t in enumerate(texts) if stays(i)]
-    if not kept and not any(f & INSIDE for f in flags):
-        kept = [t for i, t in enumerate(texts) if not flags[i] & MARKED]
-    return "\n".join(kept)
+    unmarked = [i for i, f in enumerate(flags) if not f & MARKED]
+    kept = [t for i, t in zip(unmarked, texts, strict=True) if i not in gone or flags[i] & (INSIDE | LINKS) == INSIDE]
+    return "\n".join(kept if kept or any(f & INSIDE for f in flags) else texts)
 
 
 def best_partner(host: str, path: str, keys: list[int], near: list[tuple | None]) -> list[int] | None:
@@ -278,34 +274,46 @@ def best_partner(host: str, path: str, keys: list[int], near: list[tuple | None]
 
 
 PAGE = "host string, path string, keys binary"
-OUT = f"page_id long, url string, text string, part int, last boolean, host string, path string, lines array<string>, flags binary, inner struct<{PAGE}>"
+PARSED = "id long, u string, host string, path string, lines array<string>, flags binary, keys binary"
+OUT = f"page_id long, url string, text string, part int, last boolean, host string, path string, lines array<string>, flags binary, own struct<{PAGE}>, inner struct<{PAGE}>"
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", partitions: int | None = None) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages."""
 
-    def packed(page: tuple | None) -> dict | None:
-        return None if page is None else {"host": page[2], "path": page[3], "keys": np.array(page[6], dtype="<u8").tobytes()}
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Lines instead of markup, and only hashes of boilerplate ones: all that is shuffled."""
+        give_back_memory()
+        for batch in batches:
+            found = [lines(page if isinstance(page, str) else "") for page in batch["h"]]
+            yield pd.DataFrame({
+                "id": batch["id"].astype("Int64"), "u": batch["u"], "host": batch["host"], "path": batch["path"], "lines": [[t for t, f in zip(*x, strict=True) if not f & MARKED] for x in found],
+                "flags": [bytes(f) for _, f in found], "keys": [keys_of(t).astype("<u8").tobytes() for t, _ in found],
+            })
+
+    def unpack(page) -> tuple | None:
+        return None if page is None else (page["host"], page["path"], np.frombuffer(page["keys"], "<u8").tolist())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        give_back_memory()
         part = TaskContext.get().partitionId()
-        before = now = None  # (id, url, host, path, lines, flags, keys)
+        before = now = None  # rows of PARSED
+
+        def of(page) -> dict | None:
+            return None if page is None else {"host": page.host, "path": page.path, "keys": page.keys}
 
-        def inside(page: tuple, after: tuple) -> tuple:
-            near = [None if p is None else (p[2], p[3], p[6]) for p in (before, after)]
-            return (page[0], page[1], text_of(*page[4:], best_partner(page[2], page[3], page[6], near)), None, None, None, None, None, None, None)
+        def inside(page, after) -> tuple:
+            own = np.frombuffer(page.keys, "<u8").tolist()
+            text = text_of(list(page.lines), page.flags, own, best_partner(page.host, page.path, own, [unpack(of(before)), unpack(of(after))]))
+            return (page.id, page.u, text, *[None] * 8)
 
-        def border(page: tuple, last: bool | None, inner: tuple | None) -> tuple:
-            return (page[0], page[1], None, part, last, page[2], page[3], page[4], bytes(page[5]), packed(inner))
+        def border(page, last: bool | None, inner) -> tuple:
+            return (page.id, page.u, None, part, last, page.host, page.path, page.lines, page.flags, of(page), of(inner))
 
         for batch in batches:
             out = []
-            for i, url, host, path, page in zip(batch["id"], batch["u"], batch["host"], batch["path"], batch["h"], strict=True):
-                texts, flags = lines(page if isinstance(page, str) else "")
-                new = (i, url, host, path, texts, flags, keys_of(texts).tolist())
+            for new in batch.astype({"id": "Int64"}).itertuples(index=False):
                 if now is not None:
                     out.append(inside(now, new) if before is not None else border(now, False, new))
                 before, now = now, new
@@ -314,16 +322,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield frame([border(now, None if before is None else True, before)])
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["page_id", "url", "text", "part", "last", "host", "path", "lines", "flags", "inner"])
+        out = pd.DataFrame(rows, columns=["page_id", "url", "text", "part", "last", "host", "path", "lines", "flags", "own", "inner"])
         return out.assign(page_id=out["page_id"].astype("Int64"), part=out["part"].astype("Int32"), last=out["last"].astype("boolean"))
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples():
-                keys = keys_of(list(r.lines)).tolist()
-                near = [None if p is None else (p["host"], p["path"], np.frombuffer(p["keys"], "<u8").tolist()) for p in (r.before, r.after)]
-                out.append(text_of(list(r.lines), list(r.flags), keys, best_partner(r.host, r.path, keys, near)))
+                host, path, own = unpack(r.own)
+                out.append(text_of(list(r.lines), r.flags, own, best_partner(host, path, own, [unpack(r.before), unpack(r.after)])))
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": out})
 
     url = F.coalesce(F.col(url_col), F.lit(""))
@@ -332,20 +339,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1).alias("path"), F.col(html_col).alias("h"),
     )
     keys = ["host", "path", "id"]
-    ordered = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
-    done = materialize(ordered.sortWithinPartitions(*keys).mapInPandas(run, OUT), "pages")
+    parsed = rows.mapInPandas(parse, PARSED)
+    ordered = parsed.repartitionByRange(partitions, *keys) if partitions else parsed.repartitionByRange(*keys)
+    done = materialize(ordered.sortWithinPartitions(*keys).mapInPandas(run, OUT), "pages", "zstd")
     # at most two rows of each partition: a page alone has a null ``last`` and sees both sides
-    borders = done.where("part is not null").select("*", F.struct("host", "path", line_keys("lines").alias("keys")).alias("own"))
     order = Window.orderBy("part", F.coalesce("last", F.lit(False)))
-    borders = borders.withColumn("over", F.lag("own").over(order)).withColumn("under", F.lead("own").over(order))
-    borders = borders.select("page_id", "url", "lines", "flags", "host", "path", F.when(F.col("last"), F.col("inner")).otherwise(F.col("over")).alias("before"), F.when(~F.col("last"), F.col("inner")).otherwise(F.col("under")).alias("after"))
+    borders = done.where("part is not null").withColumn("over", F.lag("own").over(order)).withColumn("under", F.lead("own").over(order))
+    borders = borders.select("page_id", "url", "lines", "flags", "own", F.when(F.col("last"), F.col("inner")).otherwise(F.col("over")).alias("before"), F.when(~F.col("last"), F.col("inner")).otherwise(F.col("under")).alias("after"))
     out = done.where("part is null").select("page_id", "url", "text").unionByName(borders.mapInPandas(finish, "page_id long, url string, text string"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
-
-
-def line_keys(column: str):
-    @F.pandas_udf("binary")
-    def keys(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: keys_of(list(x)).tobytes())
-
-    return keys(column)

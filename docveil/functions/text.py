@@ -114,3 +114,9 @@ def cp1252(b: Column) -> Column:
     """Bytes as windows-1252, one character a byte."""
     codes = [c for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
     return F.translate(F.decode(b, "ISO-8859-1"), "".join(map(chr, codes)), bytes(codes).decode("cp1252"))
+
+
+def iso_date(c: Column) -> Column:
+    """A date or time as ISO 8601 in UTC; empty is null, what can't be read stays as it is."""
+    at = F.try_to_timestamp(c)
+    return F.when(c == "", None).when(at.isNotNull(), F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))).otherwise(c)

@@ -95,3 +95,9 @@ def console_lines(reports_: DataFrame) -> DataFrame:
     title = F.concat(F.rpad(F.upper(s["level"]), 9, " "), F.lpad(s["score"].cast("string"), 3, " "), F.lit("  "), F.col("file.name"), F.lit("  ("), F.col("type.label"), F.lit(", "), tx.format_bytes(F.col("file.size")), F.lit(")"))
     items = F.transform("findings", lambda f: F.concat(F.lit("  "), F.rpad(f["severity"], 9, " "), f["title"], F.when(f["evidence"].isNotNull(), F.concat(F.lit(": "), f["evidence"])).otherwise("")))
     return reports_.select("file_id", F.array_join(F.concat(F.array(title), items), "\n").alias("line"))
+
+
+def metadata_keys(s: Scan) -> DataFrame:
+    """file_id and the sorted kinds of metadata that an image has (exif, xmp, iptc, comment, text, time, provenance)."""
+    kinds = s.facts.where((F.col("fact") == "piece") & ~F.col("value").isin("pixels", "other"))
+    return kinds.groupBy("file_id").agg(F.array_sort(F.collect_set("value")).alias("keys"))

@@ -10,6 +10,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
+from docveil.functions import text as tx
 from docveil.operators import dims
 from docveil.sources import carriers as make
 from docveil.sources.zipfiles import END, build
@@ -325,3 +326,18 @@ def report_json_text(spark, sf_dir):
 @query(f"SELECT 'd' || doc_id AS file_id, 'LOW        8  doc' || doc_id || '.txt  (Unknown file, ' || CASE WHEN n < 1024 THEN n || ' B' WHEN n / 1024 < 10 THEN printf('%.2f KB', round(n / 1024.0, 2)) ELSE printf('%.1f KB', round(n / 1024.0, 1)) END || ')' || chr(10) || '  medium   File type mismatch: Detected Unknown file; extension .txt; claimed application/octet-stream' || chr(10) || '  info     Unsupported file type' AS line FROM (SELECT *, octet_length(encode(text)) AS n FROM documents)")
 def console_text(spark, sf_dir):
     return inspect.console_lines(text_reports(spark, sf_dir))
+
+
+# --- small helpers
+
+
+@query("SELECT 'd' || doc_id AS file_id, CASE WHEN doc_id % 3 = 0 THEN 'provenance,' ELSE '' END || 'xmp' AS keys FROM documents")
+def metadata_keys(spark, sf_dir):
+    return inspect.metadata_keys(inspect.scan(carried(spark, sf_dir, "webp", webp_of))).select("file_id", F.array_join("keys", ",").alias("keys"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN left(text, 20) ELSE '2026-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || 'T00:00:00.000Z' END AS iso FROM documents")
+def iso_dates(spark, sf_dir):
+    day = F.concat(F.lit("2026-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"))
+    value = F.when(F.col("doc_id") % 5 == 0, "").when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 20)).otherwise(day)
+    return table(spark, sf_dir, "documents").select("doc_id", tx.iso_date(value).alias("iso"))

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -273,9 +274,18 @@ def best_partner(host: str, path: str, keys: list[int], near: list[tuple | None]
     return max(there, key=lambda p: (p[2] != keys, in_common(p[1], path)))[2] if there else None
 
 
+def packed_lines(texts: list[str]) -> bytes:
+    """Lines, none of which is empty or holds a line end, as one compressed cell: what is shuffled is half as long."""
+    return zstandard.compress("\n".join(texts).encode("utf-8", "surrogatepass"), 3) if texts else b""
+
+
+def unpacked_lines(raw: bytes) -> list[str]:
+    return zstandard.decompress(raw).decode("utf-8", "surrogatepass").split("\n") if raw else []
+
+
 PAGE = "host string, path string, keys binary"
-PARSED = "id long, u string, host string, path string, lines array<string>, flags binary, keys binary"
-OUT = f"page_id long, url string, text string, part int, last boolean, host string, path string, lines array<string>, flags binary, own struct<{PAGE}>, inner struct<{PAGE}>"
+PARSED = "id long, u string, host string, path string, lines binary, flags binary, keys binary"
+OUT = f"page_id long, url string, text string, part int, last boolean, host string, path string, lines binary, flags binary, own struct<{PAGE}>, inner struct<{PAGE}>"
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", partitions: int | None = None) -> DataFrame:
@@ -286,8 +296,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         give_back_memory()
         for batch in batches:
             found = [lines(page if isinstance(page, str) else "") for page in batch["h"]]
+            kept = [[t for t, f in zip(*x, strict=True) if not f & MARKED] for x in found]
             yield pd.DataFrame({
-                "id": batch["id"].astype("Int64"), "u": batch["u"], "host": batch["host"], "path": batch["path"], "lines": [[t for t, f in zip(*x, strict=True) if not f & MARKED] for x in found],
+                "id": batch["id"].astype("Int64"), "u": batch["u"], "host": batch["host"], "path": batch["path"], "lines": [packed_lines(x) for x in kept],
                 "flags": [bytes(f) for _, f in found], "keys": [keys_of(t).astype("<u8").tobytes() for t, _ in found],
             })
 
@@ -305,7 +316,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
         def inside(page, after) -> tuple:
             own = np.frombuffer(page.keys, "<u8").tolist()
-            text = text_of(list(page.lines), page.flags, own, best_partner(page.host, page.path, own, [unpack(of(before)), unpack(of(after))]))
+            text = text_of(unpacked_lines(page.lines), page.flags, own, best_partner(page.host, page.path, own, [unpack(of(before)), unpack(of(after))]))
             return (page.id, page.u, text, *[None] * 8)
 
         def border(page, last: bool | None, inner) -> tuple:
@@ -330,7 +341,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             out = []
             for r in batch.itertuples():
                 host, path, own = unpack(r.own)
-                out.append(text_of(list(r.lines), r.flags, own, best_partner(host, path, own, [unpack(r.before), unpack(r.after)])))
+                out.append(text_of(unpacked_lines(r.lines), r.flags, own, best_partner(host, path, own, [unpack(r.before), unpack(r.after)])))
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": out})
 
     url = F.coalesce(F.col(url_col), F.lit(""))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from docveil.operators import findings as fo
 from docveil.operators import rules
 from docveil.sources import carriers as make
 from docveil.sources import facts as source
+from docveil.sources.batches import in_batches
 from docveil.sources.zipfiles import Archive, ZipError, build
 
 from . import cleaning, inspect
@@ -280,14 +282,25 @@ def ui_summary_strip(spark, sf_dir):
 # --- carriers
 
 
-def carried(spark: SparkSession, sf_dir: str, suffix: str, wrap: Callable[[object], bytes], name=None) -> DataFrame:
-    """A file for each document: file_id, name, content."""
+CARRIED = pa.schema([("file_id", pa.string()), ("name", pa.string()), ("content", pa.binary())])
+WRAPPED_BYTES = 4 << 20  # a file may be many times as large as its document
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"file_id": [f"d{r.doc_id}" for r in batch.itertuples()], "name": [name(r) if name else f"doc{r.doc_id}.{suffix}" for r in batch.itertuples()], "content": [wrap(r) for r in batch.itertuples()]})
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").mapInPandas(run, "file_id string, name string, content binary")
+def wrapped(batches: Iterator[pa.RecordBatch], suffix: str, wrap: Callable[[object], bytes], name=None) -> Iterator[pa.RecordBatch]:
+    """A file for each row (doc_id, text, lang, source), few at a time."""
+
+    def each(batch: pd.DataFrame) -> Iterator[tuple[str, str, bytes]]:
+        for r in batch.itertuples():
+            yield f"d{r.doc_id}", name(r) if name else f"doc{r.doc_id}.{suffix}", wrap(r)
+
+    for batch in batches:
+        for a in range(0, max(1, batch.num_rows), 1000):
+            yield from in_batches(each(batch.slice(a, 1000).to_pandas()), CARRIED, WRAPPED_BYTES)
+
+
+def carried(spark: SparkSession, sf_dir: str, suffix: str, wrap: Callable[[object], bytes], name=None) -> DataFrame:
+    """A file for each document: file_id, name, content."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").mapInArrow(lambda batches: wrapped(batches, suffix, wrap, name), "file_id string, name string, content binary")
 
 
 def shown(s: inspect.Scan) -> DataFrame:

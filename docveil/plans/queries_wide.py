@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docveil.functions import text as tx
 from docveil.operators import dims
 from docveil.sources import carriers as make
+from docveil.sources import facts as source
 from docveil.sources.zipfiles import END, build
 
 from . import cleaning, inspect
@@ -93,8 +94,8 @@ def slides_of(r) -> bytes:
 
 @query("SELECT 'd' || doc_id AS file_id, sha256(string_agg('ppt/slides/slide' || k || '.xml' || chr(10) || text || chr(10) || k || chr(10), '' ORDER BY 'ppt/slides/slide' || k || '.xml')) AS fingerprint FROM documents, range(1, 13) AS s(k) GROUP BY doc_id")
 def pptx_fingerprint(spark, sf_dir):
-    s = inspect.scan(carried(spark, sf_dir, "pptx", slides_of))
-    return s.facts.where("fact = 'fingerprint'").select("file_id", F.col("value").alias("fingerprint"))
+    facts = source.facts(source.from_table(carried(spark, sf_dir, "pptx", slides_of)))  # read once, so not kept
+    return facts.where("fact = 'fingerprint'").select("file_id", F.col("value").alias("fingerprint"))
 
 
 # --- packages that must be refused

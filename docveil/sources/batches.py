@@ -15,8 +15,8 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
 
 
-def in_batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Batches of at most about BATCH_ROWS rows and BATCH_BYTES of text and bytes; at least one."""
+def in_batches(rows: Iterable[tuple], schema: pa.Schema, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches of at most about BATCH_ROWS rows and ``most`` bytes of text and bytes; at least one."""
     held: list[tuple] = []
     size, sent = 0, False
 
@@ -27,7 +27,7 @@ def in_batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBa
     for row in rows:
         held.append(row)
         size += sum(len(x) for x in row if isinstance(x, (str, bytes)))
-        if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+        if len(held) >= BATCH_ROWS or size >= most:
             yield batch()
             held, size, sent = [], 0, True
     if held or not sent:

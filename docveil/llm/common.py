@@ -53,6 +53,14 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(stored: DataFrame) -> None:
+    """Deletes a table that ``materialize`` wrote and that nothing will read again."""
+    jvm = stored.sparkSession.sparkContext._jvm
+    for folder in {f.rpartition("/")[0] for f in stored.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(stored.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows whose crc32 of the id's text leaves 0 when divided by 5."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -107,7 +107,11 @@ def count_trigrams(texts: DataFrame) -> np.ndarray:
 
 def discounts(counts: np.ndarray) -> np.ndarray:
     """D for counts 0, 1, 2 and 3 or more."""
-    n1, n2, n3, n4 = (float((counts == k).sum()) for k in (1, 2, 3, 4))
+    return discounts_of(*(float((counts == k).sum()) for k in (1, 2, 3, 4)))
+
+
+def discounts_of(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
+    """The same from how many n-grams have counts 1 to 4."""
     if min(n1, n2) == 0:
         return np.array([0.0, 0.5, 0.75, 0.9])
     y = n1 / (n1 + 2 * n2)

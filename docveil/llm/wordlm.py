@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kneserney
-from .common import code_points, in_chunks, materialize, mix64, sums_by_row
+from .common import code_points, drop, give_back_memory, in_chunks, materialize, mix64, sums_by_row
 
-CHUNK_CHARS = 6_000_000
-SHARD_DOCS = 16_000
+CHUNK_CHARS = 2_500_000
+SHARD_ROWS = 400_000
 BITS = 48
 FIELDS = ("n", "total", "n1", "n2", "n3")
 BLANK, WORD, MARK, LINE = 0, 1, 2, 3
@@ -71,7 +71,10 @@ def words_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.nd
     hashes = np.empty(len(cut), dtype=np.uint64)
     up, down = powers() if len(kind) <= CHUNK_CHARS else longer(len(kind))
     total = np.zeros(len(kind) + 1, dtype=np.uint64)
-    np.cumsum(mix64(points.astype(np.uint64) + np.uint64(1)) * up[: len(kind)], dtype=np.uint64, out=total[1:])
+    mixed = mix64(points + np.uint32(1))
+    mixed *= up[: len(kind)]
+    np.cumsum(mixed, dtype=np.uint64, out=total[1:])
+    del mixed
     hashes = mix64((total[end] - total[cut]) * down[cut])
     codes, found = pd.factorize(hashes)
     first = np.empty(len(found), dtype=np.int64)
@@ -116,6 +119,7 @@ def counted(trusted: DataFrame) -> DataFrame:
     """level, key, context, lower, n of the distinct n-grams of each chunk; trusted: text, half."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back_memory()
         for batch in batches:
             batch = batch[[isinstance(t, str) and bool(t) for t in batch["text"]]]
             texts, half = list(batch["text"]), batch["half"].to_numpy()
@@ -134,10 +138,10 @@ def counted(trusted: DataFrame) -> DataFrame:
 
 def model(trusted: DataFrame) -> DataFrame:
     """key, n (count, or continuation count below trigrams), and as a context total, n1, n2, n3; level of n (0: none)."""
-    grams = materialize(counted(trusted).groupBy("level", "key", "context", "lower").agg(F.sum("n").alias("n")), "ngrams")
+    grams = materialize(counted(trusted).groupBy("level", "key", "context", "lower").agg(F.sum("n").alias("n")), "ngrams", "zstd")
     trigrams = grams.where("level = 3")
     kinds = trigrams.groupBy(F.col("lower").alias("key")).agg(F.count("*").alias("n"))
-    bigrams = materialize(grams.where("level = 2").select("key", "context", "lower").join(kinds, "key"), "bigrams")
+    bigrams = materialize(grams.where("level = 2").select("key", "context", "lower").join(kinds, "key"), "bigrams", "zstd")
     words = bigrams.groupBy(F.col("lower").alias("key")).agg(F.count("*").alias("n"))
 
     def as_context(rows: DataFrame) -> DataFrame:
@@ -148,7 +152,10 @@ def model(trusted: DataFrame) -> DataFrame:
         return rows.select("key", F.lit(level).alias("level"), "n", *[F.lit(0).cast("long").alias(x) for x in FIELDS[1:]])
 
     every = counts(trigrams, 3).unionByName(counts(bigrams, 2)).unionByName(counts(words, 1)).unionByName(as_context(trigrams)).unionByName(as_context(bigrams))
-    return materialize(every.groupBy("key").agg(F.max("level").alias("level"), *[F.sum(x).alias(x) for x in FIELDS]), "word-model")
+    table = materialize(every.groupBy("key").agg(F.max("level").alias("level"), *[F.sum(x).alias(x) for x in FIELDS]), "word-model", "zstd")
+    drop(grams)
+    drop(bigrams)
+    return table
 
 
 def summary(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +163,7 @@ def summary(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = table.where("level > 0").groupBy((F.col("key") % 2).alias("half"), "level").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), *[F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).collect()
     d, base = np.zeros((2, 4, 4)), np.array([[0.0, 1.0], [0.0, 1.0]])
     for r in rows:
-        cut = d[r["half"], r["level"]] = kneserney.discounts(np.repeat([1, 2, 3, 4], [r[f"n{k}"] for k in (1, 2, 3, 4)]))
+        cut = d[r["half"], r["level"]] = kneserney.discounts_of(*(float(r[f"n{k}"]) for k in (1, 2, 3, 4)))
         if r["level"] == 1:
             more = r["kinds"] - r["n1"] - r["n2"]
             base[r["half"]] = r["total"], (cut[1] * r["n1"] + cut[2] * r["n2"] + cut[3] * more) / r["total"]
@@ -185,7 +192,9 @@ def spelling(trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     n[rows["c"].to_numpy(dtype=np.int64)] += rows["n"].to_numpy(dtype=np.float64)
     symbol = kneserney.symbols()
     share = np.log(n / np.bincount(symbol, weights=n, minlength=kneserney.K)[symbol])
-    return kneserney.log_probabilities(kneserney.count_trigrams(all_words)), share.astype(np.float32)
+    log_p = kneserney.log_probabilities(kneserney.count_trigrams(all_words))
+    drop(all_words)
+    return log_p, share.astype(np.float32)
 
 
 def spelled(words: list[str], log_p: np.ndarray, share: np.ndarray) -> np.ndarray:
@@ -224,10 +233,11 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     trusted = materialize(trusted.select("text", half.alias("half")), "trusted")
     table, (log_p, share) = model(trusted), spelling(trusted)
     d, base = summary(table)
-    shards = max(8, -(-docs.count() // SHARD_DOCS))
+    shards = max(8, -(-table.count() // SHARD_ROWS))  # a task holds one with all that is asked of it
     width = -(-(2**BITS) // shards)
 
     def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back_memory()
         for batch in batches:
             batch = batch[[isinstance(t, str) and bool(t) for t in batch["text"]]]
             texts, uid, other = list(batch["text"]), batch["uid"].to_numpy(), 1 - batch["half"].to_numpy()
@@ -243,20 +253,23 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
                 head = np.array([len(w), len(codes), b - a], dtype=np.int64)
                 yield pd.DataFrame({"chunk": [chunk], "shard": np.array([-1], dtype=np.int32), "data": [b"".join(x.tobytes() for x in (head, *parts))]})
 
-    chunks = materialize(docs.select("uid", "text", half.alias("half")).mapInPandas(prepare, "chunk long, shard int, data binary"), "chunks")
+    chunks = materialize(docs.select("uid", "text", half.alias("half")).mapInPandas(prepare, "chunk long, shard int, data binary"), "chunks", "zstd")
 
     def look_up(rows: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-        side = side.sort_values("key")
-        keys, values = side["key"].to_numpy(dtype=np.int64), side[list(FIELDS)].to_numpy(dtype=np.int64)
+        give_back_memory()
+        order = np.argsort(side["key"].to_numpy(dtype=np.int64))
+        keys = side["key"].to_numpy(dtype=np.int64)[order]
+        values = np.stack([np.minimum(side[x].to_numpy(dtype=np.int64), 2**32 - 1).astype("<u4")[order] for x in FIELDS], axis=1) if len(keys) else None
         out = []
         for raw in rows["data"]:
             asked = unpacked(raw)
             at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
-            got = np.where((keys[at] == asked)[:, None], values[at], 0) if len(keys) else np.zeros((len(asked), len(FIELDS)))
-            out.append(np.minimum(got, 2**32 - 1).astype("<u4").T.copy().view(np.uint8).reshape(len(FIELDS), -1, 4).transpose(0, 2, 1).tobytes())
+            got = np.where((keys[at] == asked)[:, None], values[at], np.uint32(0)) if len(keys) else np.zeros((len(asked), len(FIELDS)), dtype="<u4")
+            out.append(got.T.copy().view(np.uint8).reshape(len(FIELDS), -1, 4).transpose(0, 2, 1).tobytes())
         return pd.DataFrame({"chunk": rows["chunk"].to_numpy(dtype=np.int64), "shard": rows["shard"].to_numpy(dtype=np.int32), "found": out})
 
     def finish(whole: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        give_back_memory()
         raw = whole["data"].iloc[0]
         n_words, n_codes, n_docs = np.frombuffer(raw, dtype=np.int64, count=3)
         at, parts = 24, []

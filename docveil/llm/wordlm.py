@@ -27,6 +27,7 @@ from . import kneserney
 from .common import code_points, drop, give_back_memory, in_chunks, materialize, mix64, sums_by_row
 
 CHUNK_CHARS = 2_500_000
+COUNT_CHARS = 800_000  # counting needs no chunk to be large, and the JVM sorts beside it
 SHARD_ROWS = 400_000
 BITS = 48
 FIELDS = ("n", "total", "n1", "n2", "n3")
@@ -54,7 +55,7 @@ def powers() -> tuple[np.ndarray, np.ndarray]:
     """Powers of STEP and of its inverse modulo 2 ** 64."""
     out = []
     for x in (STEP, pow(STEP, -1, 2**64)):
-        row = np.full(CHUNK_CHARS, x, dtype=np.uint64)
+        row = np.full(COUNT_CHARS, x, dtype=np.uint64)
         row[0] = 1
         out.append(np.cumprod(row, dtype=np.uint64))
     return out[0], out[1]
@@ -69,7 +70,7 @@ def words_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.nd
     end = np.append(cut[1:], len(kind))
     end, cut = end[kind[cut] > 0], cut[kind[cut] > 0]
     hashes = np.empty(len(cut), dtype=np.uint64)
-    up, down = powers() if len(kind) <= CHUNK_CHARS else longer(len(kind))
+    up, down = powers() if len(kind) <= COUNT_CHARS else longer(len(kind))
     total = np.zeros(len(kind) + 1, dtype=np.uint64)
     mixed = mix64(points + np.uint32(1))
     mixed *= up[: len(kind)]
@@ -85,7 +86,7 @@ def words_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.nd
 
 
 def longer(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """powers() for a single text longer than a chunk."""
+    """powers() for more than a chunk of counting."""
     rows = [np.full(n, x, dtype=np.uint64) for x in (STEP, pow(STEP, -1, 2**64))]
     for row in rows:
         row[0] = 1
@@ -123,7 +124,7 @@ def counted(trusted: DataFrame) -> DataFrame:
         for batch in batches:
             batch = batch[[isinstance(t, str) and bool(t) for t in batch["text"]]]
             texts, half = list(batch["text"]), batch["half"].to_numpy()
-            for a, b in in_chunks(texts, CHUNK_CHARS):
+            for a, b in in_chunks(texts, COUNT_CHARS):
                 _, hashes, codes, starts = words_of(texts[a:b])
                 keys, at = keys_of(hashes, codes, starts, half[a:b])
                 for level, own, context, lower in ((3, "uvw", "uv", "vw"), (2, "vw", "v", "w")):
@@ -174,9 +175,10 @@ def spelling(trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """ln P of the class trigrams and of each character within its class, from the words of each chunk."""
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back_memory()
         for batch in batches:
             texts = [t for t in batch["text"] if isinstance(t, str) and t]
-            for a, b in in_chunks(texts, CHUNK_CHARS):
+            for a, b in in_chunks(texts, COUNT_CHARS):
                 yield pd.DataFrame({"text": [w + " " for w in words_of(texts[a:b])[0]]})
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 import zlib
@@ -45,11 +46,11 @@ def dealt(rows: DataFrame, side: DataFrame, key: str, other: str, counted: DataF
     return a, b
 
 
-def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, survives executors."""
+def materialize(df: DataFrame, name: str, compression: str = "snappy", deltas: bool = False) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, survives executors. deltas: whole numbers as differences, which suits sorted ones."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).option("parquet.writer.version", "v2" if deltas else "v1").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,6 +62,12 @@ def drop(stored: DataFrame) -> None:
         path.getFileSystem(stored.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now: it does so when the driver's JVM collects what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows whose crc32 of the id's text leaves 0 when divided by 5."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

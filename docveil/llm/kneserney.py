@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordlm
-from .common import code_points, dealt, in_chunks, materialize, small_enough, sums_by_row, unused
+from .common import code_points, dealt, forget_shuffles, in_chunks, materialize, small_enough, sums_by_row, unused
 
 K = 64
 SHARDS = 8
@@ -201,6 +201,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rows = base.select("uid", "doc_id", "lang").join(trusted, F.col("doc_id") == F.col("t"), "left").select("uid", "doc_id", "lang", F.col("t").isNotNull().alias("trusted"))
     out = judged(rows, scores(base.select("uid", "text"), log_probabilities(count_trigrams(texts))))
     if words:
+        forget_shuffles(docs.sparkSession)
         more = judged(rows, wordlm.scores(base.select("uid", "text"), texts))
         more = more.groupBy("uid").agg(F.first("score").alias("score_w"), F.first("limit").alias("limit_w"))
         worse = F.coalesce(F.col("score_w") - F.col("limit_w") > F.col("score") - F.col("limit"), F.lit(False))

@@ -1,14 +1,17 @@
 """Interpolated modified Kneser-Ney word trigrams over all trusted text, in a distributed table that grows with it.
 
-Words are runs of letters and digits as written, marks are words too (``kinds``); each n-gram is a 48-bit hash. Tasks count their chunks' trigrams, ``groupBy`` adds
-them up, and lower orders get continuation counts from it: one row for each distinct trigram, bigram and word. The base
+Words are runs of letters and digits as written, marks are words too (``kinds``); each n-gram is a 48-bit hash. Tasks send the
+trigrams (u, v, w) of their chunks packed to the shard of v, which has all that counts them, their contexts (u, v) and v, and
+the continuation counts of (v, w); those of words are added up from all shards. A word v that would fill a shard by itself (seen in
+``SAMPLE_TEXTS`` texts, which decides only where rows go) is dealt over several by u, and its bigrams are added up by ``groupBy``. The base
 distribution, which unseen words back off to, spells a word in characters: the trigrams over 64 classes of ``kneserney``,
 counted over the words of the trusted text, times the probability of the character within its class.
 
 A trusted text would find its own n-grams in the table, so there are two models, one of each half of the trusted texts (by
 a hash of the text; the half is the lowest bit of each key), and each document is scored by the half it isn't part of.
 
-Scoring sends the distinct keys of each chunk of documents to the shards of the table (ranges of keys), and counts come back to the chunk.
+Scoring sends the distinct keys of each chunk of documents to the shards of the table (ranges of keys), and counts come back to
+the chunk. Documents go in ``ROUNDS`` rounds, so that only a part of the keys and counts is on disk at a time.
 """
 
 from __future__ import annotations
@@ -20,17 +23,22 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kneserney
-from .common import code_points, drop, give_back_memory, in_chunks, materialize, mix64, sums_by_row
+from .common import code_points, drop, forget_shuffles, give_back_memory, in_chunks, materialize, mix64, sums_by_row
 
 CHUNK_CHARS = 2_500_000
-COUNT_CHARS = 800_000  # counting needs no chunk to be large, and the JVM sorts beside it
+COUNT_CHARS = 2_500_000
+COUNT_WORDS = 1_000_000
+SAMPLE_TEXTS, SAMPLE_CHARS = 2000, 5000
 SHARD_ROWS = 400_000
+ROUNDS, ROUND_DOCS = 8, 5000
 BITS = 48
-FIELDS = ("n", "total", "n1", "n2", "n3")
+EMPTY = 1  # the hash of what stands before each text
+FIELDS = ("n", "n1", "n2", "n3")
 BLANK, WORD, MARK, LINE = 0, 1, 2, 3
 STEP = 0x9E3779B97F4A7C15
 
@@ -82,7 +90,7 @@ def words_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.nd
     first[codes[::-1]] = np.arange(len(codes))[::-1]
     joined = "".join(texts)
     words = [joined[x:y] for x, y in zip(cut[first].tolist(), end[first].tolist(), strict=True)]
-    return words, found, codes.astype(np.int32), np.searchsorted(cut, begins)
+    return words, found >> np.uint64(64 - BITS), codes.astype(np.int32), np.searchsorted(cut, begins)
 
 
 def longer(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +101,17 @@ def longer(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(rows[0], dtype=np.uint64), np.cumprod(rows[1], dtype=np.uint64)
 
 
+def key_of(kind: int, hashes: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """Keys of n-grams: 1 to 3 words as such, 4 a bigram and 5 a word as context."""
+    return ((mix64(hashes + np.uint64(kind)) >> np.uint64(65 - BITS)) << np.uint64(1) | half).astype(np.int64)
+
+
+def longer_gram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix64(context) * np.uint64(3) + word
+
+
 def keys_of(hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """The distinct keys of the texts' n-grams, and for each word the places there of w, v, vw, uv and uvw; half: 0 or 1 for each text."""
+    """The distinct keys of the texts' n-grams, and for each word the places there of w, vw and uvw and of the contexts v and uv; half: 0 or 1 for each text."""
     first = starts[:-1][np.diff(starts) > 0]
     bit = np.repeat(half.astype(np.int64), np.diff(starts))
     # word 0 stands before each text
@@ -108,16 +125,54 @@ def keys_of(hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, half: np.
     uv[first] = none[bit[first]]
     uvw, triples = pd.factorize(uv * n + w)
     side = (words % 2).astype(np.uint64)
-    h1 = np.concatenate([np.ones(1, dtype=np.uint64), hashes])[words // 2]
-    h2 = mix64(h1[pairs // n]) * np.uint64(3) + h1[pairs % n]
-    h3 = mix64(h2[triples // n]) * np.uint64(3) + h1[triples % n]
-    orders = ((1, h1, side), (2, h2, side[pairs % n]), (3, h3, side[triples % n]))
-    keys = np.concatenate([((mix64(h + np.uint64(k)) >> np.uint64(65 - BITS)) << np.uint64(1) | x).astype(np.int64) for k, h, x in orders])
-    return keys, {"w": w, "v": v, "vw": vw + n, "uv": uv + n, "uvw": uvw + n + len(pairs)}
+    h1 = np.concatenate([np.full(1, EMPTY, dtype=np.uint64), hashes])[words // 2]
+    h2 = longer_gram(h1[pairs // n], h1[pairs % n])
+    h3 = longer_gram(h2[triples // n], h1[triples % n])
+    kinds_of = ((1, h1, side), (2, h2, side[pairs % n]), (3, h3, side[triples % n]), (4, h2, side[pairs % n]), (5, h1, side))
+    ends = np.cumsum([len(h) for _, h, _ in kinds_of])
+    return np.concatenate([key_of(*x) for x in kinds_of]), {"w": w, "vw": vw + ends[0], "uvw": uvw + ends[1], "uv": uv + ends[2], "v": v + ends[3]}
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Byte planes one after another: those of zeros compress to nothing."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def from_planes(raw: bytes, kind: str, n: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.uint8).reshape(-1, n).T.copy().view(kind).ravel()
+
+
+def zipped(*parts: bytes) -> bytes:
+    raw = b"".join(parts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
 
+def unzipped(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
-def counted(trusted: DataFrame) -> DataFrame:
-    """level, key, context, lower, n of the distinct n-grams of each chunk; trusted: text, half."""
+
+def often_asked(trusted: DataFrame) -> tuple[int, dict[int, tuple[int, int]]]:
+    """How many shards count, and for the hash of each word that would fill half of one: the first of its own shards and their number."""
+    words = max(1, (trusted.agg(F.sum(F.length("text"))).first()[0] or 0) // 5)
+    shards = -(-words // COUNT_WORDS)
+    if shards == 1:
+        return 1, {}
+    texts = [r[0] for r in trusted.where("text is not null").select(F.substring("text", 1, SAMPLE_CHARS)).limit(SAMPLE_TEXTS).collect()]
+    seen: dict[int, int] = {EMPTY: len(texts)}
+    for a, b in in_chunks(texts, COUNT_CHARS):
+        _, hashes, codes, _ = words_of(texts[a:b])
+        for h, n in zip(hashes.tolist(), np.bincount(codes, minlength=len(hashes)).tolist(), strict=True):
+            seen[h] = seen.get(h, 0) + n
+    total, out, free = sum(seen.values()), {}, shards
+    for h, n in sorted(seen.items()):
+        if (parts := -(-2 * n * words // (total * COUNT_WORDS))) > 1:
+            out[h] = (free, parts)
+            free += parts
+    return shards, out
+
+
+def sent(trusted: DataFrame, shards: int, heavy: dict[int, tuple[int, int]]) -> DataFrame:
+    """shard, data: the trigrams of each chunk by the shard of their middle word; trusted: text, half."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         give_back_memory()
@@ -126,37 +181,106 @@ def counted(trusted: DataFrame) -> DataFrame:
             texts, half = list(batch["text"]), batch["half"].to_numpy()
             for a, b in in_chunks(texts, COUNT_CHARS):
                 _, hashes, codes, starts = words_of(texts[a:b])
-                keys, at = keys_of(hashes, codes, starts, half[a:b])
-                for level, own, context, lower in ((3, "uvw", "uv", "vw"), (2, "vw", "v", "w")):
-                    n = np.bincount(at[own], minlength=len(keys))
-                    which = np.flatnonzero(n)
-                    one = np.empty(len(keys), dtype=np.int64)
-                    one[at[own]] = np.arange(len(codes))  # any of its occurrences
-                    yield pd.DataFrame({"level": np.full(len(which), level, dtype=np.int32), "key": keys[which], "context": keys[at[context][one[which]]], "lower": keys[at[lower][one[which]]], "n": n[which]})
-
-    return trusted.mapInPandas(run, "level int, key long, context long, lower long, n long")
+                if not len(codes):
+                    continue
+                hashes = np.append(hashes, np.uint64(EMPTY))
+                order = np.argsort(hashes, kind="stable")  # words are numbered by their hashes
+                hashes, number = hashes[order], np.empty(len(order), dtype=np.int32)
+                number[order] = np.arange(len(order))
+                first, empty = starts[:-1][np.diff(starts) > 0], number[-1]
+                w = number[codes]
+                v = np.roll(w, 1)
+                v[first] = empty
+                u = np.roll(v, 1)
+                u[first] = empty
+                shard = (mix64(hashes) % np.uint64(shards)).astype(np.int32)[v]
+                for h, (own, parts) in heavy.items():
+                    at = np.searchsorted(hashes, np.uint64(h))
+                    if at < len(hashes) and hashes[at] == h:
+                        rows = np.flatnonzero(v == at)
+                        shard[rows] = own + (mix64(hashes[u[rows]]) % np.uint64(parts)).astype(np.int32)
+                v2 = v * 2 + np.repeat(half[a:b].astype(np.int32), np.diff(starts))
+                by = np.lexsort((u, v2, shard))
+                u, v2, w, shard = u[by], v2[by], w[by], shard[by]
+                cut = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
+                out = []
+                for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    used = np.zeros(len(hashes), dtype=np.int32)
+                    used[u[x:y]] = used[w[x:y]] = used[v2[x:y] // 2] = 1
+                    place = np.cumsum(used, dtype=np.int32) - 1
+                    own = hashes[used > 0]
+                    head = np.array([len(own), y - x], dtype="<i8").tobytes()
+                    v2_own = place[v2[x:y] // 2] * 2 + v2[x:y] % 2
+                    out.append(zipped(head, packed(own.astype(np.int64)), planes(np.diff(v2_own, prepend=0).astype("<i4")), planes(place[u[x:y]].astype("<i4")), planes(place[w[x:y]].astype("<i4"))))
+                yield pd.DataFrame({"shard": shard[cut[:-1]], "data": out})
+
+    return trusted.mapInPandas(run, "shard int, data binary")
+
+
+def received(data: bytes) -> list[np.ndarray]:
+    """For each trigram of a chunk the keys of uvw, of the context uv, of vw, of the context v and of w."""
+    raw = unzipped(data)
+    n_words, n = np.frombuffer(raw, dtype="<i8", count=2).tolist()
+    h = unpacked(raw[16 : 16 + 8 * n_words]).astype(np.uint64)
+    v2, u, w = (from_planes(raw[16 + 8 * n_words + 4 * n * k : 16 + 8 * n_words + 4 * n * (k + 1)], "<i4", n) for k in range(3))
+    v2 = np.cumsum(v2)
+    half, hu, hv, hw = (v2 % 2).astype(np.uint64), h[u], h[v2 // 2], h[w]
+    uv = longer_gram(hu, hv)
+    return [key_of(3, longer_gram(uv, hw), half), key_of(4, uv, half), key_of(2, longer_gram(hv, hw), half), key_of(5, hv, half), key_of(1, hw, half)]
+
+
+TABLE = "key long, level int, n long, n1 long, n2 long, n3 long"
+
+
+def add_up(shard: int, pdf: pd.DataFrame, shards: int) -> Iterator[pd.DataFrame]:
+    """Rows of TABLE with context and lower. Level 3 and 2: n-grams with their (continuation) counts; 0: contexts, n is their total; -1: words, to be
+    added up over all shards; -2: bigrams of a word that was dealt over several shards, with the keys of the context v and of w."""
+
+    def rows(level: int, key: np.ndarray, n: np.ndarray, some: tuple = (0, 0, 0), context=0, lower=0) -> pd.DataFrame:
+        return pd.DataFrame({"key": key, "level": np.full(len(key), level, dtype=np.int32), "n": n, **{f"n{k}": np.broadcast_to(x, len(key)) for k, x in enumerate(some, 1)}, "context": np.broadcast_to(context, len(key)), "lower": np.broadcast_to(lower, len(key))})
+
+    def contexts(of: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        key, at = np.unique(of, return_inverse=True)
+        some = [np.bincount(at[n == k], minlength=len(key)) for k in (1, 2)] + [np.bincount(at[n >= 3], minlength=len(key))]
+        return rows(0, key, np.bincount(at, n, minlength=len(key)).astype(np.int64), tuple(some))
+
+    give_back_memory()
+    parts = [received(x) for x in pdf["data"]]
+    uvw, uv, vw, v, w = (np.concatenate([x[k] for x in parts]) for k in range(5))
+    del parts
+    key, at, n = np.unique(uvw, return_index=True, return_counts=True)
+    uv, vw, v, w = uv[at], vw[at], v[at], w[at]
+    yield rows(3, key, n)
+    yield contexts(uv, n)
+    del uvw, uv
+    key, at, n = np.unique(vw, return_index=True, return_counts=True)
+    if shard >= shards:
+        yield rows(-2, key, n, context=v[at], lower=w[at])
+        return
+    yield rows(2, key, n)
+    yield contexts(v[at], n)
+    yield rows(-1, *np.unique(w[at], return_counts=True))
 
 
 def model(trusted: DataFrame) -> DataFrame:
-    """key, n (count, or continuation count below trigrams), and as a context total, n1, n2, n3; level of n (0: none)."""
-    grams = materialize(counted(trusted).groupBy("level", "key", "context", "lower").agg(F.sum("n").alias("n")), "ngrams", "zstd")
-    trigrams = grams.where("level = 3")
-    kinds = trigrams.groupBy(F.col("lower").alias("key")).agg(F.count("*").alias("n"))
-    bigrams = materialize(grams.where("level = 2").select("key", "context", "lower").join(kinds, "key"), "bigrams", "zstd")
-    words = bigrams.groupBy(F.col("lower").alias("key")).agg(F.count("*").alias("n"))
-
-    def as_context(rows: DataFrame) -> DataFrame:
-        some = [F.count(F.when(F.col("n") >= 3 if k == 3 else F.col("n") == k, 1)).alias(f"n{k}") for k in (1, 2, 3)]
-        return rows.groupBy(F.col("context").alias("key")).agg(F.lit(0).alias("level"), F.lit(0).cast("long").alias("n"), F.sum("n").alias("total"), *some)
-
-    def counts(rows: DataFrame, level: int) -> DataFrame:
-        return rows.select("key", F.lit(level).alias("level"), "n", *[F.lit(0).cast("long").alias(x) for x in FIELDS[1:]])
-
-    every = counts(trigrams, 3).unionByName(counts(bigrams, 2)).unionByName(counts(words, 1)).unionByName(as_context(trigrams)).unionByName(as_context(bigrams))
-    table = materialize(every.groupBy("key").agg(F.max("level").alias("level"), *[F.sum(x).alias(x) for x in FIELDS]), "word-model", "zstd")
-    drop(grams)
-    drop(bigrams)
-    return table
+    """key, n (count, or continuation count below trigrams; a context's total) and for contexts n1, n2, n3; level of n (0: context)."""
+    shards, heavy = often_asked(trusted)
+
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat(list(add_up(int(key[0]), pdf, shards)))
+
+    counted = sent(trusted, shards, heavy).groupBy("shard").applyInPandas(count, TABLE + ", context long, lower long")
+    grams = materialize(counted, "word-model", "zstd", deltas=True)
+    split = materialize(grams.where("level = -2").groupBy("key", "context", "lower").agg(F.sum("n").alias("n")), "bigrams", "zstd")
+    forget_shuffles(trusted.sparkSession)
+    none = [F.lit(0).cast("long").alias(x) for x in FIELDS[1:]]
+    words = grams.where("level = -1").select("key", "n").unionByName(split.select(F.col("lower").alias("key"), F.lit(1).cast("long").alias("n")))
+    words = words.groupBy("key").agg(F.sum("n").alias("n")).select("key", F.lit(1).alias("level"), "n", *none)
+    some = [F.count(F.when(F.col("n") >= 3 if k == 3 else F.col("n") == k, 1)).alias(f"n{k}") for k in (1, 2, 3)]
+    contexts = split.groupBy(F.col("context").alias("key")).agg(F.lit(0).alias("level"), F.sum("n").alias("n"), *some)
+    more = materialize(words.unionByName(split.select("key", F.lit(2).alias("level"), "n", *none)).unionByName(contexts), "word-model", "zstd", deltas=True)
+    drop(split)
+    return grams.where("level >= 0").select("key", "level", *FIELDS).unionByName(more)
 
 
 def summary(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -215,28 +339,87 @@ def probabilities(stats: dict[str, np.ndarray], half: np.ndarray, p0: np.ndarray
     for order, own, context in ((2, "vw", "v"), (3, "uvw", "uv")):
         n, c = stats[own][:, 0], stats[context]
         cut = d[half, order]
-        back = (cut[:, 1:] * c[:, 2:]).sum(axis=1)
-        p = np.where(c[:, 1] > 0, (np.maximum(n - cut[np.arange(len(n)), np.minimum(n, 3)], 0) + back * p) / np.maximum(c[:, 1], 1), p)
+        back = (cut[:, 1:] * c[:, 1:]).sum(axis=1)
+        p = np.where(c[:, 0] > 0, (np.maximum(n - cut[np.arange(len(n)), np.minimum(n, 3)], 0) + back * p) / np.maximum(c[:, 0], 1), p)
     return p
 
 
 def packed(keys: np.ndarray) -> bytes:
     """Sorted keys as differences, byte planes one after another (high planes are zeros and compress)."""
-    return np.diff(keys, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return planes(np.diff(keys, prepend=0).astype("<i8"))
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T.copy().view("<i8").ravel())
+    return np.cumsum(from_planes(raw, "<i8", len(raw) // 8))
+
+
+def in_shards(table: DataFrame, shards: int, width: int) -> DataFrame:
+    """shard, data: rows of the table, sorted by key and packed, by ranges of keys."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back_memory()
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= 4 * SHARD_ROWS:
+                yield cut(held)
+                held = []
+        if held:
+            yield cut(held)
+
+    def cut(held: list[pd.DataFrame]) -> pd.DataFrame:
+        keys = np.concatenate([x["key"].to_numpy() for x in held])
+        order = np.argsort(keys)
+        keys = keys[order]
+        values = [np.minimum(np.concatenate([x[f].to_numpy() for x in held])[order], 2**32 - 1).astype("<u4") for f in FIELDS]
+        edge = np.searchsorted(keys, np.arange(shards + 1, dtype=np.int64) * width)
+        own = [s for s in range(shards) if edge[s] < edge[s + 1]]
+        return pd.DataFrame({"shard": np.array(own, dtype=np.int32), "data": [zipped(packed(keys[edge[s] : edge[s + 1]]), *(planes(x[edge[s] : edge[s + 1]]) for x in values)) for s in own]})
+
+    return table.select("key", *FIELDS).mapInPandas(run, "shard int, data binary")
+
+
+def rows_in(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of a shard and a row of FIELDS for each."""
+    keys, values = [np.zeros(0, dtype=np.int64)], [np.zeros((0, len(FIELDS)), dtype="<u4")]
+    for raw in map(unzipped, data):
+        n = len(raw) // (8 + 4 * len(FIELDS))
+        keys.append(unpacked(raw[: 8 * n]))
+        values.append(np.stack([from_planes(raw[8 * n + 4 * n * k : 8 * n + 4 * n * (k + 1)], "<u4", n) for k in range(len(FIELDS))], axis=1))
+    keys = np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], np.concatenate(values)[order]
 
 
 def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """uid, nll, chars of the non-empty texts of docs (uid, text); trusted: text."""
+    spark = docs.sparkSession
     half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
-    trusted = materialize(trusted.select("text", half.alias("half")), "trusted")
-    table, (log_p, share) = model(trusted), spelling(trusted)
-    d, base = summary(table)
-    shards = max(8, -(-table.count() // SHARD_ROWS))  # a task holds one with all that is asked of it
+    trusted = materialize(trusted.select("text", half.alias("half")), "trusted", "zstd")
+    log_p, share = spelling(trusted)
+    forget_shuffles(spark)
+    rows = model(trusted)
+    drop(trusted)
+    d, base = summary(rows)
+    shards = max(8, -(-rows.count() // SHARD_ROWS))  # a task holds one with all that is asked of it
     width = -(-(2**BITS) // shards)
+    forget_shuffles(spark)
+    table = materialize(in_shards(rows, shards, width), "word-shards")
+    drop(rows)
+    rounds = max(1, min(ROUNDS, docs.count() // ROUND_DOCS))
+    docs, out = docs.select("uid", "text", half.alias("half")), []
+    for k in range(rounds):
+        out.append(looked_up(docs.where(F.pmod("uid", F.lit(rounds)) == k), table, d, base, log_p, share, shards, width))
+        forget_shuffles(spark)
+    drop(table)
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+def looked_up(docs: DataFrame, table: DataFrame, d: np.ndarray, base: np.ndarray, log_p: np.ndarray, share: np.ndarray, shards: int, width: int) -> DataFrame:
+    """uid, nll, chars of some documents (uid, text, half)."""
 
     def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         give_back_memory()
@@ -255,19 +438,17 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
                 head = np.array([len(w), len(codes), b - a], dtype=np.int64)
                 yield pd.DataFrame({"chunk": [chunk], "shard": np.array([-1], dtype=np.int32), "data": [b"".join(x.tobytes() for x in (head, *parts))]})
 
-    chunks = materialize(docs.select("uid", "text", half.alias("half")).mapInPandas(prepare, "chunk long, shard int, data binary"), "chunks", "zstd")
+    chunks = materialize(docs.mapInPandas(prepare, "chunk long, shard int, data binary"), "chunks", "zstd")
 
     def look_up(rows: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         give_back_memory()
-        order = np.argsort(side["key"].to_numpy(dtype=np.int64))
-        keys = side["key"].to_numpy(dtype=np.int64)[order]
-        values = np.stack([np.minimum(side[x].to_numpy(dtype=np.int64), 2**32 - 1).astype("<u4")[order] for x in FIELDS], axis=1) if len(keys) else None
+        keys, values = rows_in(list(side["data"]))
         out = []
         for raw in rows["data"]:
             asked = unpacked(raw)
             at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
             got = np.where((keys[at] == asked)[:, None], values[at], np.uint32(0)) if len(keys) else np.zeros((len(asked), len(FIELDS)), dtype="<u4")
-            out.append(got.T.copy().view(np.uint8).reshape(len(FIELDS), -1, 4).transpose(0, 2, 1).tobytes())
+            out.append(zipped(*(planes(np.ascontiguousarray(x)) for x in got.T)))
         return pd.DataFrame({"chunk": rows["chunk"].to_numpy(dtype=np.int64), "shard": rows["shard"].to_numpy(dtype=np.int32), "found": out})
 
     def finish(whole: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
@@ -282,9 +463,9 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         if not n_codes:
             return pd.DataFrame({"uid": uid, "nll": np.zeros(n_docs), "chars": chars})
         keys, places = keys_of(w, codes, starts, other)
-        planes = [np.frombuffer(x, dtype=np.uint8).reshape(len(FIELDS), 4, -1).transpose(0, 2, 1).copy().view("<u4")[:, :, 0].T for x in found.sort_values("shard")["found"]]
+        counts = [np.frombuffer(unzipped(x), dtype=np.uint8).reshape(len(FIELDS), 4, -1).transpose(0, 2, 1).copy().view("<u4")[:, :, 0].T for x in found.sort_values("shard")["found"]]
         rows = np.empty((len(keys), len(FIELDS)), dtype=np.int64)
-        rows[np.argsort(keys, kind="stable")] = np.concatenate(planes)
+        rows[np.argsort(keys, kind="stable")] = np.concatenate(counts)
         per_word = np.repeat(other, np.diff(starts))
         nll = np.empty(n_codes)
         for a in range(0, int(n_codes), 200_000):  # scratch arrays stay small
@@ -293,7 +474,8 @@ def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
             nll[cut] = -np.log(np.maximum(probabilities(stats, per_word[cut], np.exp(p0[codes[cut]]), d, base), 1e-300))
         return pd.DataFrame({"uid": uid, "nll": sums_by_row(nll, starts), "chars": chars})
 
-    sharded = table.select(F.floor(F.col("key") / F.lit(width)).cast("int").alias("shard"), "key", *FIELDS)
-    found = chunks.where("shard >= 0").groupBy("shard").cogroup(sharded.groupBy("shard")).applyInPandas(look_up, "chunk long, shard int, found binary")
+    found = chunks.where("shard >= 0").groupBy("shard").cogroup(table.groupBy("shard")).applyInPandas(look_up, "chunk long, shard int, found binary")
     parts = chunks.where("shard < 0").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(finish, "uid long, nll double, chars long")
-    return parts.groupBy("uid").agg(F.max("nll").alias("nll"), F.max("chars").alias("chars"))
+    done = materialize(parts.groupBy("uid").agg(F.max("nll").alias("nll"), F.max("chars").alias("chars")), "word-scores")
+    drop(chunks)
+    return done
